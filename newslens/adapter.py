@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG
+from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG, fields
 
 # Lookup of the derived events. 190 is left out so that the inner join loses rows.
 EVENT_CODES = {
@@ -25,63 +25,61 @@ EVENT_CODES = {
 LINES_PER_ARCHIVE = 100_000
 
 
-def _case(column, values, default):
-    branches = F
-    for key, value in values.items():
-        branches = branches.when(column == key, value)
-    return branches.otherwise(default)
+# Schemas of the tables read here; given, so that opening a table needs no job of its own.
+EVENTS = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+    "props STRING"
+)
+NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
+REGION = "r_regionkey INT, r_name STRING"
+
+# The cleaned event as SQL expressions over the joined tables, in column order. The measures are
+# halves and eighths, so that sums and averages are exact.
+NEWS_EVENT = {
+    "GLOBALEVENTID": "event_id",
+    "event_date": "event_date",
+    "year_month": "CAST(year(event_date) * 100 + month(event_date) AS STRING)",
+    "Actor1Name": "IF(event_id % 19 <> 0, upper(event_type), NULL)",
+    "Actor1CountryCode": "IF(event_id % 19 <> 0, left(r_name, 3), NULL)",
+    "Actor1Type1Code": "IF(event_id % 2 = 0, 'GOV', NULL)",
+    "Actor2Name": "IF(event_id % 23 <> 0, r_name, NULL)",
+    "Actor2CountryCode": "IF(event_id % 23 <> 0, left(r_name, 3), NULL)",
+    "EventCode": "decode(event_type, 'click', '010', 'view', '020', 'signup', '0311', "
+    "'purchase', '057', '190')",
+    "EventBaseCode": "decode(event_type, 'click', '010', 'view', '020', 'signup', '031', "
+    "'purchase', '057', '190')",
+    "EventRootCode": "decode(event_type, 'click', '01', 'view', '02', 'signup', '03', "
+    "'purchase', '05', '19')",
+    "QuadClass": "decode(event_type, 'click', 1, 'view', 1, 'signup', 2, 'purchase', 2, 4)",
+    "goldstein_scale": "CAST(k % 41 - 20 AS DOUBLE) / 2",
+    "avg_tone": "CAST((event_id * 7 + k) % 161 - 80 AS DOUBLE) / 8",
+    "num_mentions": "k",
+    "num_articles": "CAST((event_id * 13 + k) % 101 AS INT)",
+    "num_sources": "k % 10 + 1",
+    "ActionGeo_FullName": "IF(event_id % 17 <> 0, concat('City', event_id % 3, ', ', n_name), NULL)",
+    "ActionGeo_CountryCode": "IF(event_id % 29 <> 0, n_name, NULL)",
+    "lon": "IF(event_id % 11 <> 0, CAST(event_id % 360 - 180 AS DOUBLE), NULL)",
+    "lat": "IF(event_id % 13 <> 0, CAST(event_id % 180 - 90 AS DOUBLE), NULL)",
+    "SOURCEURL": "concat('http://news.example/', event_id)",
+}
 
 
 def news_events(spark, sf_dir):
     """The 22-column cleaned event built from every row of `events`; event_date is a DATE."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    rows = (
-        events.withColumn("event_date", F.col("ts").cast("date"))
-        .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
-        .join(nation, F.col("user_id") % 25 == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.schema(REGION).parquet(f"{sf_dir}/region.parquet")
+    return (
+        events.selectExpr(
+            "*",
+            "CAST(ts AS DATE) AS event_date",
+            "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+            "CAST(user_id % 25 AS INT) AS n_nationkey",
+        )
+        .join(nation, "n_nationkey")
+        .join(region, F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(*(f"{NEWS_EVENT[name]} AS {name}" for name in CLEAN_COLUMNS))
     )
-    event_id, k, kind = F.col("event_id"), F.col("k"), F.col("event_type")
-
-    def unless_multiple(of, value):
-        return F.when(event_id % of != 0, value)
-
-    region_code = F.substring("r_name", 1, 3)
-    columns = {
-        "GLOBALEVENTID": event_id,
-        "event_date": F.col("event_date"),
-        "year_month": (F.year("event_date") * 100 + F.month("event_date")).cast("string"),
-        "Actor1Name": unless_multiple(19, F.upper(kind)),
-        "Actor1CountryCode": unless_multiple(19, region_code),
-        "Actor1Type1Code": F.when(event_id % 2 == 0, "GOV"),
-        "Actor2Name": unless_multiple(23, F.col("r_name")),
-        "Actor2CountryCode": unless_multiple(23, region_code),
-        "EventCode": _case(
-            kind, {"click": "010", "view": "020", "signup": "0311", "purchase": "057"}, "190"
-        ),
-        "EventBaseCode": _case(
-            kind, {"click": "010", "view": "020", "signup": "031", "purchase": "057"}, "190"
-        ),
-        "EventRootCode": _case(
-            kind, {"click": "01", "view": "02", "signup": "03", "purchase": "05"}, "19"
-        ),
-        "QuadClass": _case(kind, {"click": 1, "view": 1, "signup": 2, "purchase": 2}, 4),
-        "goldstein_scale": (k % 41 - 20).cast("double") / 2,
-        "avg_tone": ((event_id * 7 + k) % 161 - 80).cast("double") / 8,
-        "num_mentions": k,
-        "num_articles": ((event_id * 13 + k) % 101).cast("int"),
-        "num_sources": (k % 10 + 1).cast("int"),
-        "ActionGeo_FullName": unless_multiple(
-            17, F.concat(F.lit("City"), (event_id % 3).cast("string"), F.lit(", "), "n_name")
-        ),
-        "ActionGeo_CountryCode": unless_multiple(29, F.col("n_name")),
-        "lon": unless_multiple(11, (event_id % 360 - 180).cast("double")),
-        "lat": unless_multiple(13, (event_id % 180 - 90).cast("double")),
-        "SOURCEURL": F.concat(F.lit("http://news.example/"), event_id.cast("string")),
-    }
-    return rows.select(*(columns[name].alias(name) for name in CLEAN_COLUMNS))
 
 
 def event_codes(spark):
@@ -90,58 +88,56 @@ def event_codes(spark):
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(EventCode, EventDescription)")
 
 
-def _shaped(df, ddl, columns):
-    """Select every column of `ddl`, taking NULL where `columns` has no expression."""
-    names_types = [part.split() for part in ddl.split(",")]
-    return df.select(
-        *(columns.get(name.strip("`"), F.lit(None)).cast(kind).alias(name.strip("`"))
-          for name, kind in names_types)
+def _shaped(df, ddl, expressions):
+    """Every column of `ddl` as an SQL expression over `df`, NULL where none is given."""
+    return df.selectExpr(
+        *(f"CAST({expressions.get(name, 'NULL')} AS {kind}) AS `{name}`"
+          for name, kind in fields(ddl))
     )
 
 
+# Raw columns whose value is not simply the cleaned column of the same name.
+RAW_FROM_CLEAN = {
+    "SQLDATE": "date_format(event_date, 'yyyyMMdd')",
+    "MonthYear": "year_month",
+    "Year": "year(event_date)",
+    "IsRootEvent": "1",
+    "GoldsteinScale": "goldstein_scale",
+    "AvgTone": "avg_tone",
+    "NumMentions": "num_mentions",
+    "NumArticles": "num_articles",
+    "NumSources": "num_sources",
+    "ActionGeo_Long": "lon",
+    "ActionGeo_Lat": "lat",
+    "DATEADDED": "concat(date_format(event_date, 'yyyyMMdd'), '000000')",
+}
+
+
 def raw_events(clean):
     """61-column rows that clean up to `clean` again."""
-    day = F.date_format("event_date", "yyyyMMdd")
-    columns = {name: F.col(name) for name in CLEAN_COLUMNS}
-    columns |= {
-        "SQLDATE": day,
-        "MonthYear": F.col("year_month"),
-        "Year": F.year("event_date"),
-        "IsRootEvent": F.lit(1),
-        "GoldsteinScale": F.col("goldstein_scale"),
-        "AvgTone": F.col("avg_tone"),
-        "NumMentions": F.col("num_mentions"),
-        "NumArticles": F.col("num_articles"),
-        "NumSources": F.col("num_sources"),
-        "ActionGeo_Long": F.col("lon"),
-        "ActionGeo_Lat": F.col("lat"),
-        "DATEADDED": F.concat(day, F.lit("000000")),
-    }
-    return _shaped(clean, RAW_EVENT, columns)
+    return _shaped(clean, RAW_EVENT, {name: name for name in CLEAN_COLUMNS} | RAW_FROM_CLEAN)
 
 
 def raw_gkg(documents):
     """27-column knowledge-graph rows of the documents, with their whole texts."""
-    one_line = F.regexp_replace("text", "[\t\r\n]", " ")
-    columns = {
-        "GKGRECORDID": F.col("doc_id"),
-        "SOURCECOLLECTIONIDENTIFIER": F.lit(1),
-        "SOURCECOMMONNAME": F.col("source"),
-        "DOCUMENTIDENTIFIER": F.concat(F.lit("http://docs.example/"), F.col("doc_id")),
-        "V2EXTRASXML": one_line,
-    }
-    return _shaped(documents, RAW_GKG, columns)
+    return _shaped(documents, RAW_GKG, {
+        "GKGRECORDID": "doc_id",
+        "SOURCECOLLECTIONIDENTIFIER": "1",
+        "SOURCECOMMONNAME": "source",
+        "DOCUMENTIDENTIFIER": "concat('http://docs.example/', doc_id)",
+        "V2EXTRASXML": "translate(text, '\\t\\r\\n', '   ')",
+    })
 
 
 def tsv_lines(raw):
     """One unquoted tab-separated line per row; NULL is the empty field."""
-    fields = (F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in raw.columns)
-    return raw.select(F.concat_ws("\t", *fields).alias("value"))
+    values = ", ".join(f"coalesce(CAST(`{name}` AS STRING), '')" for name in raw.columns)
+    return raw.selectExpr(f"concat_ws('\\t', {values}) AS value")
 
 
 def manifest_lines(spark, sf_dir):
     """`size hash url` lines, an event and a knowledge-graph file for each hour with events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     hours = events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
     url = F.concat(
         F.lit("http://feed.example/v2/"), F.date_format("hour", "yyyyMMddHHmmss"), F.col("ending")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newslens.functions.parsing import day_from_int, day_from_stamp
-from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT
+from newslens.schemas import CLEAN_COLUMNS
 
 # Columns that can be derived but are not part of a cleaned event.
 EXTRA_COLUMNS = {
@@ -28,11 +28,6 @@ def clean_events(raw, extra=()):
         "lon": F.col("ActionGeo_Long"),
         "lat": F.col("ActionGeo_Lat"),
     }
-    columns = [derived[c].alias(c) if c in derived else F.col(c) for c in CLEAN_COLUMNS]
+    columns = [derived[c].alias(c) if c in derived else c for c in CLEAN_COLUMNS]
     columns += [EXTRA_COLUMNS[c]().alias(c) for c in extra]
     return raw.select(*columns).where(F.col("event_date").isNotNull())
-
-
-def raw_columns():
-    """Names of the 61 raw columns in file order."""
-    return [part.split()[0] for part in RAW_EVENT.split(",")]

@@ -57,6 +57,11 @@ SOURCEURL STRING, EventDescription STRING
 """
 
 
+def fields(ddl):
+    """(name, type) pairs of a DDL text with flat columns."""
+    return [tuple(part.replace("`", "").split()) for part in ddl.split(",")]
+
+
 def require_columns(df, *names):
     """Return `df`, or raise if it lacks one of `names`."""
     missing = [n for n in names if n not in df.columns]

@@ -3,7 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from newslens.schemas import STORED_EVENT, require_columns
+from newslens.schemas import STORED_EVENT, fields, require_columns
 from newslens.sources.tables import read_stored_events
 
 # Row order inside the tables with day folders, next to the day itself. The last column splits
@@ -24,11 +24,11 @@ def _write_by_day(df, path, layout, overwrite_mode):
     Day and country lookups then skip folders, files and pages, as an index would, and a day
     with a large share of all rows is written by many tasks.
     """
+    df = df.withColumn("event_date", F.col("event_date").cast("date"))
     keys = [F.asc("event_date")]
     keys += [F.desc(c) if c in DESCENDING else F.asc(c) for c in layout]
     (
-        df.withColumn("event_date", F.col("event_date").cast("date"))
-        .repartitionByRange(*keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite_mode)
@@ -37,10 +37,15 @@ def _write_by_day(df, path, layout, overwrite_mode):
     )
 
 
+def as_stored(rows):
+    """Columns and types of the stored events table."""
+    require_columns(rows, *(name for name, _ in fields(STORED_EVENT)))
+    return rows.select(*(F.col(name).cast(kind) for name, kind in fields(STORED_EVENT)))
+
+
 def write_events(rows, root):
     """Write event rows into day folders, replacing exactly the days that occur in `rows`."""
-    require_columns(rows, "event_date", "EventDescription", *LAYOUTS["events"])
-    _write_by_day(rows, f"{root}/events", LAYOUTS["events"], "dynamic")
+    _write_by_day(as_stored(rows), f"{root}/events", LAYOUTS["events"], "dynamic")
 
 
 def event_key(df):
@@ -59,8 +64,7 @@ def merge_events(spark, new_rows, root):
     if existing is None:
         write_events(new_rows, root)
         return
-    new_rows = new_rows.withColumn("event_date", F.col("event_date").cast("date"))
-    new_rows = new_rows.select(*existing.columns)
+    existing, new_rows = as_stored(existing), as_stored(new_rows)
     days = new_rows.select("event_date").distinct()
     known_days = [row.event_date for row in days.limit(MAX_PRUNED_DAYS + 1).collect()]
     if len(known_days) <= MAX_PRUNED_DAYS:
