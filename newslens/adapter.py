@@ -9,7 +9,7 @@ import io
 import os
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -157,10 +157,10 @@ def _pack(batches):
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
             target.writestr(f"{task:06d}-{number:06d}.export.CSV", "\n".join(lines) + "\n")
         name = f"{task:06d}-{number:06d}.export.CSV.zip"
-        return pd.DataFrame({"path": [name], "content": [packed.getvalue()]})
+        return pa.RecordBatch.from_pydict({"path": [name], "content": [packed.getvalue()]})
 
     for batch in batches:
-        for line in batch["value"]:
+        for line in batch.column("value").to_pylist():
             lines.append(line)
             if len(lines) == LINES_PER_ARCHIVE:
                 yield archive()
@@ -171,7 +171,7 @@ def _pack(batches):
 
 def archives(lines):
     """(path, content) rows with the lines zipped up, as the feed publishes them."""
-    return lines.mapInPandas(_pack, "path string, content binary")
+    return lines.mapInArrow(_pack, "path string, content binary")
 
 
 def land_archives(packed, folder):

@@ -1,9 +1,10 @@
 """Zipped feed files, read in place."""
 
 import io
+import itertools
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newslens.schemas import RAW_EVENT, RAW_GKG
@@ -14,24 +15,22 @@ MEMBER_ENDINGS = (".CSV", ".csv", ".txt")
 LINES_PER_BATCH = 20_000
 
 
+def _line_batch(lines):
+    return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
+
+
 def _member_lines(batches):
-    """(path, content) batches -> batches of text lines; members are streamed, not held whole."""
+    """(content) batches -> batches of text lines; members are streamed, not held whole."""
     for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for content in batch.column("content"):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                 for name in archive.namelist():
                     if "/" in name or not name.endswith(MEMBER_ENDINGS):
                         continue
                     with archive.open(name) as member:
                         text = io.TextIOWrapper(member, encoding="utf-8", errors="replace")
-                        lines = []
-                        for line in text:
-                            lines.append(line.rstrip("\n"))
-                            if len(lines) == LINES_PER_BATCH:
-                                yield pd.DataFrame({"line": lines})
-                                lines = []
-                        if lines:
-                            yield pd.DataFrame({"line": lines})
+                        while lines := list(itertools.islice(text, LINES_PER_BATCH)):
+                            yield _line_batch(lines)
 
 
 def scan_archives(spark, paths):
@@ -41,9 +40,10 @@ def scan_archives(spark, paths):
 
 def rows_from_archives(archives, ddl):
     """Parse the members of (path, content) rows with the given schema, inside the JVM."""
-    lines = archives.select("content").mapInPandas(_member_lines, "line STRING")
+    lines = archives.select("content").mapInArrow(_member_lines, "line STRING")
     return (
-        lines.where(F.col("line").rlike(r"\S"))
+        lines.select(F.rtrim("line", F.lit("\n")).alias("line"))
+        .where(F.col("line").rlike(r"\S"))
         .select(F.from_csv("line", ddl, TSV).alias("row"))
         .select("row.*")
     )

@@ -7,19 +7,26 @@ checkpoint remembers which files were read.
 from newslens.operators.clean import clean_events
 from newslens.operators.enrich import enrich_events
 from newslens.schemas import RAW_EVENT
-from newslens.sinks.tables import merge_events
 from newslens.plans.ingest import one_row_per_event
+from newslens.sinks.tables import merge_events
+from newslens.sources.archives import rows_from_archives
 from newslens.sources.codes import read_event_codes
 from newslens.sources.delimited import TSV
 
+# The columns of Spark's binaryFile source, which a stream has to be told.
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 
-def stream_raw_events(spark, folder, max_files=1000):
-    """Tab-separated event files that appear in `folder`."""
-    reader = spark.readStream.schema(RAW_EVENT).options(**TSV)
-    return reader.option("maxFilesPerTrigger", max_files).csv(folder)
+def stream_raw_events(spark, folder, zipped=False, max_files=1000):
+    """Event files that appear in `folder`: tab-separated text, or zip archives."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if zipped:
+        archives = reader.format("binaryFile").schema(BINARY_FILE).load(folder)
+        return rows_from_archives(archives.select("path", "content"), RAW_EVENT)
+    return reader.schema(RAW_EVENT).options(**TSV).csv(folder)
 
 
-def ingest_landed(spark, folder, code_paths, root, checkpoint):
+def ingest_landed(spark, folder, code_paths, root, checkpoint, zipped=False):
     """Merge everything that has landed since the last call into `events`, then stop.
 
     Each micro-batch goes through the same staging and merge as the batch ingest. A batch that
@@ -35,7 +42,7 @@ def ingest_landed(spark, folder, code_paths, root, checkpoint):
         merge_events(batch.sparkSession, batch.sparkSession.read.parquet(staging), root)
 
     return (
-        stream_raw_events(spark, folder)
+        stream_raw_events(spark, folder, zipped)
         .writeStream.foreachBatch(merge_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

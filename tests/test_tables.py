@@ -168,6 +168,15 @@ def test_stream_picks_up_new_files_once(spark, tmp_path, codes):
     assert run() == [1, 2, 3, 4, 5, 6]
 
 
+def test_stream_of_archives(spark, tmp_path, codes):
+    root, folder = str(tmp_path / "db"), tmp_path / "in"
+    folder.mkdir()
+    zip_file(folder / "a.zip", a_CSV="\n".join(LINES[:3]))
+    query = ingest_landed(spark, str(folder), codes, root, str(tmp_path / "state"), zipped=True)
+    query.awaitTermination()
+    assert sorted(r.GLOBALEVENTID for r in read_events(spark, root).collect()) == [1, 2, 3]
+
+
 class ClusterSession:
     """Stands in for a session whose cluster names a shared folder; the setting is static."""
 
