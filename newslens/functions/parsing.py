@@ -15,14 +15,18 @@ def day_from_stamp(stamp):
     return F.try_to_timestamp(F.substring(stamp.cast("string"), 1, 8), F.lit("yyyyMMdd"))
 
 
-def utc_literal(moment):
-    """date or datetime (naive = UTC) -> timestamp literal, whatever the machine's own zone is."""
+def as_utc(moment):
+    """date or datetime -> naive datetime in UTC; a naive one is taken to be UTC already."""
     if isinstance(moment, datetime):
-        if moment.tzinfo is not None:
-            moment = moment.astimezone(UTC).replace(tzinfo=None)
-    elif not isinstance(moment, date):
-        raise TypeError(f"expected a date or datetime, got {moment!r}")
-    return F.lit(moment.isoformat()).cast("timestamp")
+        return moment if moment.tzinfo is None else moment.astimezone(UTC).replace(tzinfo=None)
+    if isinstance(moment, date):
+        return datetime(moment.year, moment.month, moment.day)
+    raise TypeError(f"expected a date or datetime, got {moment!r}")
+
+
+def utc_literal(moment):
+    """Timestamp literal of a date or datetime, whatever the machine's own zone is."""
+    return F.lit(as_utc(moment).isoformat(sep=" ")).cast("timestamp")
 
 
 def one_spaced(text):

@@ -1,7 +1,5 @@
 """Groups of events that tell one story: country x day x quad class x base code."""
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,6 @@ STORY_MODES = {
     "top_lat": "lat",
     "top_event_description": "EventDescription",
 }
-MEASURES = ["n", "mentions", "articles", "sources", "tone_sum", "tone_n", "gold_sum", "gold_n"]
 
 
 def story_urls(events, max_urls=20):
@@ -38,28 +35,46 @@ def story_urls(events, max_urls=20):
     )
 
 
-def _counted(events):
-    """Measures per story, and event counts per story and candidate value of each mode.
+def _totals(events):
+    return events.groupBy(*STORY_KEYS).agg(
+        F.count("*").alias("total_events"),
+        F.sum("num_mentions").alias("total_mentions"),
+        F.sum("num_articles").alias("total_articles"),
+        F.sum("num_sources").alias("total_sources"),
+        F.avg("avg_tone").alias("average_tone"),
+        F.avg("goldstein_scale").alias("avg_goldstein_scale"),
+    )
+
 
-    One scan and one shuffle for all of it: grouping sets expand each row in the map task, and
-    the counts are combined there before anything moves.
+def _modes(events):
+    """Modal values per story, all six from one scan.
+
+    Grouping sets expand each row in the map task, where equal (story, value) pairs are counted
+    before anything moves.
     """
-    modes = list(STORY_MODES.values())
-    measures = events.where(F.col(CODE).isNotNull()).select(
-        *STORY_KEYS, *modes, "num_mentions", "num_articles", "num_sources", "avg_tone",
-        "goldstein_scale",
+    columns = list(STORY_MODES.values())
+    counted = (
+        events.select(*STORY_KEYS, *columns)
+        .groupingSets([[*STORY_KEYS, column] for column in columns], *STORY_KEYS, *columns)
+        .agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
     )
-    sets = [STORY_KEYS, *([*STORY_KEYS, mode] for mode in modes)]
-    return measures.groupingSets(sets, *STORY_KEYS, *modes).agg(
-        F.grouping_id().alias("gid"),
-        F.count("*").alias("n"),
-        F.sum("num_mentions").alias("mentions"),
-        F.sum("num_articles").alias("articles"),
-        F.sum("num_sources").alias("sources"),
-        F.sum("avg_tone").alias("tone_sum"),
-        F.count("avg_tone").alias("tone_n"),
-        F.sum("goldstein_scale").alias("gold_sum"),
-        F.count("goldstein_scale").alias("gold_n"),
+    # In a grouping id, the bit of each column that the set leaves out is 1, last column lowest.
+    all_out = 2 ** len(columns) - 1
+    modes = []
+    for position, (name, column) in enumerate(STORY_MODES.items()):
+        in_its_set = F.col("gid") == all_out - 2 ** (len(columns) - 1 - position)
+        modes.append(modal_value(F.when(in_its_set, F.col(column)), F.col("n")).alias(name))
+    return counted.groupBy(*STORY_KEYS).agg(*modes)
+
+
+def _sample_urls(events, max_urls):
+    """Listed URLs per story in rank order; a NULL URL takes a rank but is not listed."""
+    ranked = F.sort_array(F.collect_list(F.struct("url_rank", "SOURCEURL")))
+    return (
+        story_urls(events, max_urls)
+        .where(F.col("SOURCEURL").isNotNull())
+        .groupBy(*STORY_KEYS)
+        .agg(F.transform(ranked, lambda url: url["SOURCEURL"]).alias("sample_urls"))
     )
 
 
@@ -68,39 +83,26 @@ def story_groups(events, min_sources=20, max_urls=20):
 
     Stories with at most `min_sources` sources in total drop out. The modal longitude and
     latitude are taken independently of each other.
-    """
-    modes = list(STORY_MODES.values())
-    whole = 2 ** len(modes) - 1  # grouping id of the set without any mode column
-
-    def gid_of(mode):
-        return whole - 2 ** (len(modes) - 1 - modes.index(mode))
 
-    counted = _counted(events).withColumn("url", F.lit(None).cast("struct<rank:int,url:string>"))
-    urls = story_urls(events, max_urls).where(F.col("SOURCEURL").isNotNull())
-    urls = urls.select(
-        *STORY_KEYS,
-        F.struct(F.col("url_rank").alias("rank"), F.col("SOURCEURL").alias("url")).alias("url"),
-    )
-    parts = counted.unionByName(urls, allowMissingColumns=True)
-
-    def total(name):
-        return F.sum(F.when(F.col("gid") == whole, F.col(name)))
-
-    def modal(mode):
-        return modal_value(F.when(F.col("gid") == gid_of(mode), F.col(mode)), F.col("n"))
-
-    stories = parts.groupBy(*STORY_KEYS).agg(
-        total("n").alias("total_events"),
-        total("mentions").alias("total_mentions"),
-        total("articles").alias("total_articles"),
-        total("sources").alias("total_sources"),
-        F.try_divide(total("tone_sum"), total("tone_n")).alias("average_tone"),
-        F.try_divide(total("gold_sum"), total("gold_n")).alias("avg_goldstein_scale"),
-        *(modal(mode).alias(name) for name, mode in STORY_MODES.items()),
-        F.transform(F.sort_array(F.collect_list("url")), lambda u: u["url"]).alias("sample_urls"),
+    Totals, modes and URLs are each reduced to one row per story, so that no task ever holds the
+    events of a story. Grouping the union of those rows then brings them together; unlike joins,
+    it matches NULL keys.
+    """
+    located = events.where(F.col(CODE).isNotNull())
+    parts = (
+        _totals(located)
+        .where(F.col("total_sources") > min_sources)
+        .unionByName(_modes(located), allowMissingColumns=True)
+        .unionByName(_sample_urls(located, max_urls), allowMissingColumns=True)
     )
-    return stories.where(F.col("total_sources") > min_sources).orderBy(
-        F.desc("total_articles"), *STORY_KEYS
+    columns = [c for c in parts.columns if c not in STORY_KEYS]
+    # Each column has a value in one of the three rows only.
+    stories = parts.groupBy(*STORY_KEYS).agg(*(F.max(c).alias(c) for c in columns))
+    no_urls = F.array().cast("array<string>")
+    return (
+        stories.where(F.col("total_events").isNotNull())
+        .withColumn("sample_urls", F.coalesce("sample_urls", no_urls))
+        .orderBy(F.desc("total_articles"), *STORY_KEYS)
     )
 
 

@@ -17,12 +17,14 @@ def use_utc(spark):
 def scratch_path(spark, name):
     """A fresh path for files that one Spark job writes and a later one reads.
 
-    The cluster names its shared folder in `spark.checkpoint.dir`. Only where that is unset
-    (tests, a single machine) is a temporary folder used, removed when the process ends.
+    The cluster names its shared folder in `spark.checkpoint.dir`. Only on a single machine that
+    leaves it unset (tests) is a temporary folder used, removed when the process ends.
     """
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="newslens-")
             atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)

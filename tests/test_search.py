@@ -1,5 +1,5 @@
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 
@@ -69,6 +69,8 @@ def test_date_bounds(spark):
 def test_spec_checks():
     with pytest.raises(ValueError):
         SearchSpec(date_min=date(2024, 3, 2), date_max=datetime(2024, 3, 1, 23))
+    aware = datetime(2024, 3, 2, 1, tzinfo=timezone(timedelta(hours=2)))
+    assert SearchSpec(date_min=aware, date_max=date(2024, 3, 2)).date_min is aware
     spec = SearchSpec(goldstein_min=5, goldstein_max=-5, tone_min=3, tone_max=1)
     assert (spec.goldstein_min, spec.goldstein_max) == (-5, 5)
     assert (spec.tone_min, spec.tone_max) == (1, 3)
@@ -89,6 +91,13 @@ def test_search_order_limit_and_kpis_of_the_limited_rows(spark):
     assert search_kpis(search_events(df, SearchSpec(country="zzz"))).first().n == 0
 
 
+def test_large_limit_gives_the_same_order(spark):
+    df = events(spark, [dict(num_articles=i % 7, SOURCEURL=f"u{i}") for i in range(60)])
+    small = [r.SOURCEURL for r in search_events(df.repartition(4), SearchSpec(limit=1000)).collect()]
+    large = [r.SOURCEURL for r in search_events(df.repartition(4), SearchSpec(limit=1001)).collect()]
+    assert small == large and len(small) == 60
+
+
 def test_display_and_csv(spark, tmp_path):
     df = events(spark, [dict(Actor1Name='a,"b"', Actor2Name=None, SOURCEURL="http://x/?a=1,2")])
     shown = display_columns(search_events(df, SearchSpec()))

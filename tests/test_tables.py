@@ -177,15 +177,16 @@ def test_stream_of_archives(spark, tmp_path, codes):
     assert sorted(r.GLOBALEVENTID for r in read_events(spark, root).collect()) == [1, 2, 3]
 
 
-class ClusterSession:
-    """Stands in for a session whose cluster names a shared folder; the setting is static."""
+class Cluster:
+    """Stands in for a cluster's session; the settings are static ones."""
 
-    class conf:
-        @staticmethod
-        def get(key, default):
-            return "hdfs://shared/folder/" if key == "spark.checkpoint.dir" else default
+    def __init__(self, **settings):
+        self.conf = {key.replace("_", "."): value for key, value in settings.items()}
 
 
 def test_scratch_uses_the_clusters_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert scratch_path(ClusterSession, "x").startswith("hdfs://shared/folder/newslens/x-")
+    cluster = Cluster(spark_master="yarn", spark_checkpoint_dir="hdfs://shared/folder/")
+    assert scratch_path(cluster, "x").startswith("hdfs://shared/folder/newslens/x-")
+    with pytest.raises(ValueError):
+        scratch_path(Cluster(spark_master="yarn"), "x")
