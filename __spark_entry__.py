@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,12 @@ from newslens.operators.stories import (  # noqa: E402
     story_groups as group_stories,
     story_urls,
 )
-from newslens.plans.ingest import build_events  # noqa: E402
+from newslens.plans.analysis import run_analysis  # noqa: E402
+from newslens.plans.ingest import ingest  # noqa: E402
 from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT  # noqa: E402
 from newslens.session import scratch_path, use_utc  # noqa: E402
 from newslens.sinks.export import export_csv, read_export  # noqa: E402
-from newslens.sinks.tables import merge_events, write_events, write_summary  # noqa: E402
+from newslens.sinks.tables import write_events, write_summary  # noqa: E402
 from newslens.sources.archives import read_zipped_events, rows_from_archives  # noqa: E402
 from newslens.sources.codes import read_event_codes  # noqa: E402
 from newslens.sources.delimited import read_raw_events, read_raw_gkg  # noqa: E402
@@ -275,18 +277,39 @@ def select_feed_files(spark, sf_dir):
 
 
 def events_table_rerun(spark, sf_dir):
-    """The events table after the same feed was ingested twice."""
-    events = build_events(adapter.raw_events(_g(spark, sf_dir)), adapter.event_codes(spark))
+    """The events table after the same landed feed was ingested twice."""
+    feed = _landed_text(spark, _event_lines(spark, sf_dir), "feed")
+    codes = scratch_path(spark, "feed-codes")
+    adapter.event_codes(spark).select(
+        F.concat_ws(" ", "EventCode", "EventDescription").alias("CODE DESCRIPTION")
+    ).write.options(header="true", sep="\u0001", quote="").csv(codes)
     root = scratch_path(spark, "tables")
-    staging = f"{root}/_staging/new"
-    events.write.parquet(staging)
-    staged = spark.read.parquet(staging)
-    write_events(staged, root)
-    merge_events(spark, staged, root)
+    for _ in range(2):
+        ingest(spark, feed, codes, root)
     stored = _measures_as_double(_as_day(read_events(spark, root)))
     return stored.select(*CLEAN_COLUMNS, "EventDescription")
 
 
+def analysis_job(spark, sf_dir):
+    """Row count and a control total of each summary that the analysis stores."""
+    root = scratch_path(spark, "analysis")
+    write_events(_enriched(spark, sf_dir), root)
+    run_analysis(spark, root, BASELINE_DAYS * 24, TOP_EVENTS, MIN_BASELINE)
+    totals = {
+        "top_events": F.sum("GLOBALEVENTID"),
+        "events_per_country": F.sum("Total_Events"),
+        "tone_by_country": F.count("Average_Tone"),
+        "country_event_spike": F.sum(F.col("spike_events") + F.col("baseline_events")),
+    }
+    rows = [
+        read_table(spark, root, name).agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), total.alias("total")
+        )
+        for name, total in totals.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 QUERIES = [
     country_event_spike, spike_all_countries, spike_report, spike_top20, spike_kpis,
     flagged_spikes, day_ranks, events_by_day_country, events_per_country, country_totals_top15,
@@ -294,6 +317,7 @@ QUERIES = [
     search_events, search_kpis, search_export, spike_export, story_groups, story_sample_urls,
     impact_ranking, clean_events, enrich_events, scan_events_tsv, scan_zipped_events,
     scan_gkg_tsv, load_event_codes, select_feed_files, events_table_rerun,
+    analysis_job,
 ]
 
 
@@ -354,6 +378,13 @@ _EN = (
     "en AS (SELECT g.*, c.EventDescription FROM g JOIN codes c ON g.EventCode = c.EventCode)"
 )
 
+# The same names over the enriched rows, as the stored events table holds them.
+_STORED = (
+    _G.replace("\ng AS (", "\nclean AS (")
+    + ",\n"
+    + _EN.replace("en AS (SELECT g.*", "g AS (SELECT g.*").replace("FROM g JOIN", "FROM clean g JOIN")
+)
+
 _COUNTS = """
 counts AS (
   SELECT ActionGeo_CountryCode, event_date, count(*) AS total_events FROM g
@@ -574,4 +605,14 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
         "AS url, CAST(h AS TIMESTAMP) AS file_time FROM hours "
         f"WHERE h > TIMESTAMP '{NOW}' - INTERVAL {FEED_HOURS + 3} HOUR",
         "events_table_rerun": _with(_G, _EN, "SELECT * FROM en"),
+        "analysis_job": _with(
+            _STORED, spikes, _PLACES, _TOP,
+            "SELECT 'top_events' AS table_name, count(*) AS n_rows, "
+            "CAST(sum(GLOBALEVENTID) AS BIGINT) AS total FROM top "
+            "UNION ALL SELECT 'events_per_country', count(*), "
+            "CAST(sum(Total_Events) AS BIGINT) FROM totals "
+            "UNION ALL SELECT 'tone_by_country', count(*), count(Average_Tone) FROM tones "
+            "UNION ALL SELECT 'country_event_spike', count(*), "
+            "CAST(sum(spike_events + baseline_events) AS BIGINT) FROM spikes",
+        ),
     }

@@ -101,7 +101,7 @@ def test_gkg_dotted_columns(spark, tmp_path):
 def test_event_codes(spark, tmp_path):
     path = write(
         tmp_path / "codes.txt",
-        "CAMEOEVENTCODE\tEVENTDESCRIPTION", "", "01\tMAKE  PUBLIC   STATEMENT", "   ",
+        "CODE\tDESCRIPTION", "", "01\tMAKE  PUBLIC   STATEMENT", "   ",
         '0311 Express "intent', "057", "01 Second text",
     )
     codes = {tuple(r) for r in read_event_codes(spark, path).collect()}
