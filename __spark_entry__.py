@@ -58,7 +58,7 @@ from newslens.sources.archives import read_zipped_events, rows_from_archives  #
 from newslens.sources.codes import read_event_codes  # noqa: E402
 from newslens.sources.delimited import read_raw_events, read_raw_gkg  # noqa: E402
 from newslens.sources.manifest import select_feed_files as feed_window  # noqa: E402
-from newslens.sources.tables import read_events, read_table, table_head  # noqa: E402
+from newslens.sources.tables import read_events, read_table, summary_head  # noqa: E402
 
 # Parameters of the queries; the library's defaults are sized for the live feed.
 BASELINE_DAYS = 7
@@ -144,8 +144,7 @@ def events_per_country(spark, sf_dir):
 def country_totals_top15(spark, sf_dir):
     path = scratch_path(spark, "totals")
     write_summary(events_per_country(spark, sf_dir), path, "events_per_country")
-    stored = read_table(spark, path, "events_per_country")
-    return table_head(stored, 15, F.desc("Total_Events"), "Country_Name")
+    return summary_head(spark, path, "events_per_country", 15)
 
 
 def tone_by_country(spark, sf_dir):

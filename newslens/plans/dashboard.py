@@ -1,7 +1,6 @@
 """The data behind each dashboard page, from stored tables. Nothing runs until it is shown."""
 
-from pyspark.sql import functions as F
-
+from newslens.operators.countries import tone_extremes
 from newslens.operators.search import (
     available_dates,
     display_columns,
@@ -9,17 +8,15 @@ from newslens.operators.search import (
     search_events,
     search_kpis,
 )
-from newslens.operators.countries import tone_extremes
 from newslens.operators.spikes import flagged_spikes, spike_kpis, spike_report, spike_top
-from newslens.sources.tables import read_events, read_table, table_head
+from newslens.sources.tables import read_events, read_table, summary_head
 
 
 def global_trends(spark, root, now, day=None, n=15, hours=200):
     """Country totals, tone extremes, selectable days and, for one day, the map points."""
     top = read_table(spark, root, "top_events")
-    totals = read_table(spark, root, "events_per_country")
     page = {
-        "country_totals": table_head(totals, n, F.desc("Total_Events"), "Country_Name"),
+        "country_totals": summary_head(spark, root, "events_per_country", n),
         "tone_extremes": tone_extremes(read_table(spark, root, "tone_by_country"), n),
         "available_dates": available_dates(top, now, hours),
     }

@@ -39,13 +39,16 @@ def scan_archives(spark, paths):
 
 
 def rows_from_archives(archives, ddl):
-    """Parse the members of (path, content) rows with the given schema, inside the JVM."""
+    """Parse the members of (path, content) rows with the given schema, inside the JVM.
+
+    `inline` keeps later filters above the parse; pushed below it, they would parse each line
+    a second time.
+    """
     lines = archives.select("content").mapInArrow(_member_lines, "line STRING")
     return (
         lines.select(F.rtrim("line", F.lit("\n")).alias("line"))
         .where(F.col("line").rlike(r"\S"))
-        .select(F.from_csv("line", ddl, TSV).alias("row"))
-        .select("row.*")
+        .select(F.inline(F.array(F.from_csv("line", ddl, TSV))))
     )
 
 

@@ -34,6 +34,23 @@ def read_table(spark, root, name):
     return _days_as_timestamps(table) if "event_date" in table.columns else table
 
 
-def table_head(table, n, *order):
-    """First n rows of a stored summary, in an explicit order."""
-    return table.orderBy(*order).limit(n)
+# Order in which each summary is read, ending in columns that make it unique.
+SUMMARY_ORDER = {
+    "top_events": ["-num_articles", "GLOBALEVENTID"],
+    "events_per_country": ["-Total_Events", "Country_Name"],
+    "tone_by_country": ["-Average_Tone", "Country_Name"],
+    "country_event_spike": ["-spike_score", "ActionGeo_CountryCode"],
+    "events_by_time_and_country": ["-event_ts", "ActionGeo_CountryCode"],
+    "separate_events": [
+        "-total_articles", "ActionGeo_CountryCode", "event_date", "QuadClass", "EventBaseCode",
+    ],
+    "top_impact_events": [
+        "impact_score", "ActionGeo_CountryCode", "event_date", "QuadClass", "EventBaseCode",
+    ],
+}
+
+
+def summary_head(spark, root, name, limit=1000):
+    """First rows of a stored summary. The order is explicit, since files keep none."""
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in SUMMARY_ORDER[name]]
+    return read_table(spark, root, name).orderBy(*order).limit(limit)

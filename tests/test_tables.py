@@ -9,7 +9,13 @@ from newslens.plans.dashboard import country_insights, event_spikes, global_tren
 from newslens.plans.ingest import ingest, one_row_per_event
 from newslens.session import scratch_path
 from newslens.sinks.tables import append_table, merge_events, write_events
-from newslens.sources.tables import read_events, read_stored_events, read_table
+from newslens.sources.tables import (
+    SUMMARY_ORDER,
+    read_events,
+    read_stored_events,
+    read_table,
+    summary_head,
+)
 from newslens.streaming.feed import ingest_landed
 
 from helpers import day, events, plan
@@ -137,6 +143,12 @@ def test_analysis_and_dashboard(spark, tmp_path, codes):
     ranked = read_table(spark, root, "top_impact_events").orderBy("impact_score").collect()
     assert [r.impact_score for r in ranked] == [-1.5 * a for a in (30, 26, 22)]
     assert read_table(spark, root, "events_by_time_and_country").count() == 3
+    assert set(SUMMARY_ORDER) == set(SUMMARY_TABLES)
+    heads = {name: summary_head(spark, root, name, 1).first() for name in SUMMARY_TABLES}
+    assert heads["top_events"].GLOBALEVENTID == 12
+    assert heads["separate_events"].total_articles == 30
+    assert heads["top_impact_events"].impact_score == -45.0
+    assert heads["events_by_time_and_country"].event_ts == day(3)
 
     clear(spark, root, events_too=False)
     assert all(read_table(spark, root, t).count() == 0 for t in SUMMARY_TABLES)
