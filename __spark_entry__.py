@@ -6,7 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +87,17 @@ def _enriched(spark, sf_dir):
     return enrich(_g(spark, sf_dir), adapter.event_codes(spark))
 
 
-def _as_day(df):
-    return df.withColumn("event_date", F.col("event_date").cast("date"))
+def _published(query):
+    """The query with event_date as TIMESTAMP_NTZ, which reads the same in every client zone."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        if "event_date" in df.columns:
+            df = df.withColumn("event_date", F.col("event_date").cast("timestamp_ntz"))
+        return df
+
+    return run
 
 
 def _measures_as_double(df):
@@ -129,7 +138,7 @@ def flagged_spikes(spark, sf_dir):
 
 def day_ranks(spark, sf_dir):
     ranks = ranks_of_days(_g(spark, sf_dir))
-    return ranks.select(F.col("event_ts").cast("date").alias("event_date"), "day_rank")
+    return ranks.select(F.col("event_ts").alias("event_date"), "day_rank")
 
 
 def events_by_day_country(spark, sf_dir):
@@ -213,7 +222,7 @@ def impact_ranking(spark, sf_dir):
 
 
 def clean_events(spark, sf_dir):
-    return _measures_as_double(_as_day(clean(adapter.raw_events(_g(spark, sf_dir)))))
+    return _measures_as_double(clean(adapter.raw_events(_g(spark, sf_dir))))
 
 
 def enrich_events(spark, sf_dir):
@@ -285,7 +294,7 @@ def events_table_rerun(spark, sf_dir):
     root = scratch_path(spark, "tables")
     for _ in range(2):
         ingest(spark, feed, codes, root)
-    stored = _measures_as_double(_as_day(read_events(spark, root)))
+    stored = _measures_as_double(read_events(spark, root))
     return stored.select(*CLEAN_COLUMNS, "EventDescription")
 
 
@@ -327,14 +336,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: _published(query) for query in QUERIES}
 
 
 # ------------------------------------------------------------------------------ oracle SQL
 
 _G = """
 base AS (
-  SELECT e.event_id, e.event_type, e.user_id, CAST(e.ts AS DATE) AS event_date,
+  SELECT e.event_id, e.event_type, e.user_id,
+         CAST(CAST(e.ts AS DATE) AS TIMESTAMP) AS event_date,
          CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INT) AS k
   FROM events e),
 g AS (

@@ -65,14 +65,14 @@ NEWS_EVENT = {
 
 
 def news_events(spark, sf_dir):
-    """The 22-column cleaned event built from every row of `events`; event_date is a DATE."""
+    """The 22-column cleaned event built from every row of `events`."""
     events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
     region = spark.read.schema(REGION).parquet(f"{sf_dir}/region.parquet")
     return (
         events.selectExpr(
             "*",
-            "CAST(ts AS DATE) AS event_date",
+            "CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date",
             "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
             "CAST(user_id % 25 AS INT) AS n_nationkey",
         )
