@@ -311,7 +311,9 @@ def analysis_job(spark, sf_dir):
     }
     rows = [
         read_table(spark, root, name).agg(
-            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), total.alias("total")
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("n_rows"),
+            F.coalesce(total, F.lit(0)).alias("total"),
         )
         for name, total in totals.items()
     ]
@@ -622,6 +624,6 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
             "CAST(sum(Total_Events) AS BIGINT) FROM totals "
             "UNION ALL SELECT 'tone_by_country', count(*), count(Average_Tone) FROM tones "
             "UNION ALL SELECT 'country_event_spike', count(*), "
-            "CAST(sum(spike_events + baseline_events) AS BIGINT) FROM spikes",
+            "CAST(coalesce(sum(spike_events + baseline_events), 0) AS BIGINT) FROM spikes",
         ),
     }
