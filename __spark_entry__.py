@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -60,6 +62,23 @@ from newslens.sources.delimited import read_raw_events, read_raw_gkg  # noqa: E4
 from newslens.sources.manifest import select_feed_files as feed_window  # noqa: E402
 from newslens.sources.tables import read_events, read_table, summary_head  # noqa: E402
 
+
+
+def _corpus_queries():
+    """Queries and SQL of the corpus operators; none where that subpackage has been taken out."""
+    if not importlib.util.find_spec("newslens.llm") or not importlib.util.find_spec(
+        "newslens.llm.queries"
+    ):
+        return {}, {}
+    module = importlib.import_module("newslens.llm.queries")
+    registered = dict(module.QUERIES)
+    if importlib.util.find_spec("corpus_pipeline"):
+        registered["pipeline"] = importlib.import_module("corpus_pipeline").run
+    return registered, dict(module.ORACLE_SQL)
+
+
+CORPUS_QUERIES, CORPUS_SQL = _corpus_queries()
+
 # Parameters of the queries; the library's defaults are sized for the live feed.
 BASELINE_DAYS = 7
 MIN_BASELINE = 10.0
@@ -338,7 +357,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: _published(query) for query in QUERIES}
+    return {query.__name__: _published(query) for query in QUERIES} | CORPUS_QUERIES
 
 
 # ------------------------------------------------------------------------------ oracle SQL
@@ -528,7 +547,7 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
         ["event_date", "ActionGeo_FullName", "Actor1Name", "Actor2Name", "EventDescription",
          "QuadClass", "num_mentions", "num_articles", "goldstein_scale", "avg_tone", "SOURCEURL"]
     )
-    return {
+    return CORPUS_SQL | {
         "country_event_spike": _with(_G, spikes, "SELECT * FROM spikes"),
         "spike_all_countries": _with(_G, _spikes(-1.0), "SELECT * FROM spikes"),
         "spike_report": _with(

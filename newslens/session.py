@@ -1,12 +1,7 @@
 """Session settings the results depend on, and the folder for intermediate files."""
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-_local_scratch = None
-
 
 def use_utc(spark):
     """Event days are UTC midnights, so the session must not shift them."""
@@ -14,19 +9,21 @@ def use_utc(spark):
     return spark
 
 
-def scratch_path(spark, name):
-    """A fresh path for files that one Spark job writes and a later one reads.
+def scratch_root(spark):
+    """The shared folder named in `spark.checkpoint.dir`; where that is unset, the warehouse.
 
-    The cluster names its shared folder in `spark.checkpoint.dir`. Only on a single machine that
-    leaves it unset (tests) is a temporary folder used, removed when the process ends.
+    Both are folders that the driver and all executors see. Each application has its own part.
     """
-    global _local_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if _local_scratch is None:
-            _local_scratch = tempfile.mkdtemp(prefix="newslens-")
-            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
-        shared = _local_scratch
-    return f"{shared.rstrip('/')}/newslens/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/newslens/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark, name):
+    """A fresh path for files that one Spark job writes and a later one reads."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark):
+    """Delete this application's intermediate files, once none of its results is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

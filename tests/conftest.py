@@ -9,7 +9,7 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .appName("newslens-tests")
@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         # Short queries: do not wait for the optimizing compiler.
         .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
         .config("spark.driver.host", "127.0.0.1")

@@ -25,10 +25,11 @@ def sorted_rows(rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    own = set(contract.queries()) - set(contract.CORPUS_QUERIES)
+    assert own == set(contract.oracle_sql()) - set(contract.CORPUS_SQL)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", [q.__name__ for q in contract.QUERIES])
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     cursor = duck.execute(contract.oracle_sql()[name])
