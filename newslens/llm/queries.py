@@ -2,10 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from newslens.llm import simhash
+from newslens.llm import simhash, substring_dedup
 from newslens.llm.tables import read_table
 
 
+def op5_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256")
+    )
+
+
 def op10_simhash_near_dup(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -13,6 +20,25 @@ def op10_simhash_near_dup(spark, sf_dir):
     )
 
 
-QUERIES = {"op10_simhash_near_dup": op10_simhash_near_dup}
+QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
+    "op10_simhash_near_dup": op10_simhash_near_dup,
+}
+
+# Words of a text, as every contract takes them. \\x0B and \\x0C are \\v and \\f.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP5 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+windows AS (SELECT r, i, hash(array_to_string(w[i:i+34], ' ')) AS h FROM starts),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows WHERE h IN (FROM repeated)),
+gone AS (SELECT r, list(p) AS ps FROM covered GROUP BY r)
+SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+    list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.r = gone.r"""
 
-ORACLE_SQL = {}
+ORACLE_SQL = {"op5_substring_dedup": _OP5}
