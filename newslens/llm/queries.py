@@ -2,10 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from newslens.llm import simhash, substring_dedup
+from newslens.llm import quality_rules, simhash, substring_dedup
 from newslens.llm.tables import read_table
 
 
+def op1_quality_rules(spark, sf_dir):
+    judged = quality_rules.verdicts(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op5_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select(
@@ -21,6 +26,7 @@ def op10_simhash_near_dup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
@@ -28,6 +34,67 @@ QUERIES = {
 # Words of a text, as every contract takes them. \\x0B and \\x0C are \\v and \\f.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_RATES = quality_rules.SLACK
+_PASSES = " AND ".join(f"{r} <= max_{r}" for r in _RATES) + " AND word_length >= min_word_length"
+_BOUNDS = ", ".join(
+    f"max(CASE WHEN rate = '{r}' THEN q3 + {quality_rules.RANGES} * (q3 - q1) + {slack} END) AS max_{r}"
+    for r, slack in _RATES.items()
+) + (
+    f", max(CASE WHEN rate = 'word_length' THEN q1 - {quality_rules.RANGES} * (q3 - q1) "
+    f"- {_RATES['word_length']} END) AS min_word_length"
+)
+_OP1 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+    {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d),
+windows AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS k FROM starts),
+twice AS (SELECT r, k FROM windows GROUP BY r, k HAVING count(*) > 1),
+spots AS (SELECT DISTINCT r, unnest(range(i, i + 8)) AS p FROM windows SEMI JOIN twice USING (r, k)),
+repeats AS (SELECT r, count(*) AS n FROM spots GROUP BY r),
+counts AS (
+  SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines
+  FROM d LEFT JOIN repeats USING (r)),
+base AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS}
+    OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
+rated AS (
+  SELECT *, 1000 * n_symbols // nullif(n_words, 0) AS symbol_rate,
+    1000 * n_dup_lines // nullif(n_lines, 0) AS dup_line_rate,
+    1000 * n_repeat_words // nullif(n_words, 0) AS repeat_rate,
+    100 * word_chars // nullif(n_words, 0) AS word_length FROM base),
+long AS (
+  UNPIVOT (SELECT lang, source, {", ".join(_RATES)} FROM rated WHERE NOT base_failed)
+  ON {", ".join(_RATES)} INTO NAME rate VALUE v),
+bucketed AS (
+  SELECT lang, source, rate, CASE WHEN v < 128 THEN v
+    ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS b FROM long),
+levels AS (
+  SELECT 0 AS level, lang, source, rate, b FROM bucketed
+  UNION ALL SELECT 1, lang, NULL, rate, b FROM bucketed
+  UNION ALL SELECT 3, NULL, NULL, rate, b FROM bucketed),
+quartiles AS (
+  SELECT level, lang, source, rate, count(*) AS n, quantile_disc(b, 0.25) AS q1,
+    quantile_disc(b, 0.75) AS q3 FROM levels GROUP BY ALL),
+bounds AS (
+  SELECT level, lang, source, max(n) AS n, {_BOUNDS} FROM quartiles GROUP BY level, lang, source),
+own AS (
+  SELECT lang, source, CASE WHEN n >= {quality_rules.MIN_GROUP} THEN 0
+      WHEN sum(n) OVER (PARTITION BY lang) >= {quality_rules.MIN_GROUP} THEN 1 ELSE 3 END AS use
+  FROM bounds WHERE level = 0),
+limits AS (
+  SELECT own.lang, own.source, bounds.* EXCLUDE (level, lang, source, n) FROM own JOIN bounds ON level = use
+    AND (CASE WHEN use < 3 THEN own.lang END) IS NOT DISTINCT FROM bounds.lang
+    AND (CASE WHEN use < 1 THEN own.source END) IS NOT DISTINCT FROM bounds.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND {_PASSES}, false) AS kept
+FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang
+  AND rated.source IS NOT DISTINCT FROM limits.source"""
+
 _OP5 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
@@ -41,4 +108,4 @@ SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_re
     list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.r = gone.r"""
 
-ORACLE_SQL = {"op5_substring_dedup": _OP5}
+ORACLE_SQL = {"op1_quality_rules": _OP1, "op5_substring_dedup": _OP5}
