@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from newslens.llm import quality_rules, simhash, substring_dedup
+from newslens.llm import decontamination, quality_rules, simhash, substring_dedup
 from newslens.llm.tables import read_table
 
 
@@ -18,6 +18,14 @@ def op5_substring_dedup(spark, sf_dir):
     )
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    """A row per leak: a document, and a benchmark item of which it holds 80 % or more."""
+    leaks = decontamination.find_leaks(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return leaks.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
 def op10_simhash_near_dup(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -28,6 +36,7 @@ def op10_simhash_near_dup(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 
@@ -108,4 +117,27 @@ SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_re
     list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.r = gone.r"""
 
-ORACLE_SQL = {"op1_quality_rules": _OP1, "op5_substring_dedup": _OP5}
+_OP7 = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, list_filter(string_split(
+    regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM texts),
+s AS (
+  SELECT kind, id, unnest(CASE WHEN len(w) >= 5
+      THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+docs AS (SELECT DISTINCT id AS doc_id, shingle FROM s WHERE kind = 'd'),
+items AS (SELECT DISTINCT id AS item_id, shingle FROM s WHERE kind = 'i'),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT doc_id, items.item_id, n AS n_shingles, count(*) AS n_found
+FROM docs JOIN items USING (shingle) JOIN sizes ON items.item_id = sizes.item_id
+GROUP BY doc_id, items.item_id, n HAVING count(*) * 100 >= n * 80"""
+
+ORACLE_SQL = {
+    "op1_quality_rules": _OP1,
+    "op5_substring_dedup": _OP5,
+    "op7_benchmark_decontamination": _OP7,
+}
