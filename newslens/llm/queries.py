@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from newslens.llm import decontamination, quality_rules, simhash, substring_dedup
+from newslens.llm import decontamination, quality_rules, simhash, substring_dedup, web_archives
 from newslens.llm.tables import read_table
+from newslens.session import scratch_path
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -11,6 +12,20 @@ def op1_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op4_warc_packages(spark, sf_dir):
+    """Every page written into ZIP packages of WARC records, and read back by ranges."""
+    path = scratch_path(spark, "warc-packages")
+    web_archives.write_packages(read_table(spark, sf_dir, "pages"), path)
+    records = web_archives.read_packages(spark, path)
+    return records.select(
+        web_archives.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        web_archives.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op5_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select(
@@ -35,6 +50,7 @@ def op10_simhash_near_dup(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_warc_packages": op4_warc_packages,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_simhash_near_dup": op10_simhash_near_dup,
@@ -104,6 +120,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang
   AND rated.source IS NOT DISTINCT FROM limits.source"""
 
+# Base 32 of a SHA-1: 40 hex digits, five of them to four digits of the base-32 alphabet.
+_BASE32 = "translate(concat(" + ", ".join(
+    f"to_base(CAST(concat('0x', substring(h, {i}, 5)) AS BIGINT), 32, 4)" for i in range(1, 41, 5)
+) + "), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+_OP4 = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last_id FROM p)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM last"""
+
 _OP5 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
@@ -138,6 +166,7 @@ GROUP BY doc_id, items.item_id, n HAVING count(*) * 100 >= n * 80"""
 
 ORACLE_SQL = {
     "op1_quality_rules": _OP1,
+    "op4_warc_packages": _OP4,
     "op5_substring_dedup": _OP5,
     "op7_benchmark_decontamination": _OP7,
 }
