@@ -2,7 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from newslens.llm import decontamination, quality_rules, simhash, substring_dedup, web_archives
+from newslens.llm import (
+    decontamination,
+    mixing,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    web_archives,
+)
 from newslens.llm.tables import read_table
 from newslens.session import scratch_path
 
@@ -33,6 +40,11 @@ def op5_substring_dedup(spark, sf_dir):
     )
 
 
+def op6_source_mixing(spark, sf_dir):
+    """A row per draw of a document, with its place in the source's epoch."""
+    return mixing.draws(read_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     """A row per leak: a document, and a benchmark item of which it holds 80 % or more."""
     leaks = decontamination.find_leaks(
@@ -52,6 +64,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_warc_packages": op4_warc_packages,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
