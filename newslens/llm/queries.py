@@ -8,6 +8,7 @@ from newslens.llm import (
     quality_rules,
     simhash,
     substring_dedup,
+    training_order,
     web_archives,
 )
 from newslens.llm.tables import read_table
@@ -19,6 +20,11 @@ def op1_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op2_training_order(spark, sf_dir):
+    """Every token sequence of the documents with its slot, in slot order."""
+    return training_order.training_order(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_packages(spark, sf_dir):
     """Every page written into ZIP packages of WARC records, and read back by ranges."""
     path = scratch_path(spark, "warc-packages")
@@ -62,6 +68,7 @@ def op10_simhash_near_dup(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_training_order": op2_training_order,
     "op4_warc_packages": op4_warc_packages,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_source_mixing": op6_source_mixing,

@@ -12,7 +12,7 @@ def read_table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df, name):
+def keep(df, name, **options):
     """The rows of `df` as a written table in the shared folder.
 
     It ends the lineage: what is read from it later is not computed again, also if executors are
@@ -20,7 +20,7 @@ def keep(df, name):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
