@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from newslens.llm import (
     decontamination,
     mixing,
+    pii,
     quality_rules,
     simhash,
     substring_dedup,
@@ -59,6 +60,11 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return leaks.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+def op8_pii_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced."""
+    return pii.replace_entities(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dup(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -73,6 +79,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 

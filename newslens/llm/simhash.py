@@ -195,3 +195,16 @@ def near_duplicates(docs, doc_id="doc_id", text="text"):
     ids = grouped.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_print = grouped.join(ids, "root").select("fingerprint", "component_id")
     return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs):
+    """The rows of `docs` (doc_id, text, ...) that come first, by doc_id, in their component.
+
+    Rows repeated in full are one document, of which one row stays; rows that share an id are
+    told apart by their texts.
+    """
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = docs.withColumn("_key", key).join(keep(first, "simhash-first"), F.col("_key") == F.col("first"), "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")
