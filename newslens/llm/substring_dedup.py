@@ -134,6 +134,8 @@ def _repeats(source, window, seed_words):
     again = seeds.groupBy("anchor").agg(
         F.count("*").alias("times"), (F.min("reach") != F.max("reach")).alias("mixed")
     ).where("times > 1").select("anchor", "mixed")
+    # Read from a table, both sides of the join can be split where one anchor has many rows.
+    again = keep(again, "substring-anchors")
     shared = keep(seeds.join(again, "anchor"), "substring-shared")
     place = ["doc_id", "text_hash", "first", "n"]
     alike = shared.where("NOT mixed").select(*place)
@@ -147,7 +149,7 @@ def _repeats(source, window, seed_words):
     picked = reaches.select("anchor", "one.*", (F.col("times") == 1).alias("alone"))
     windows = keep(_windows(source, picked, window), "substring-windows")
     found = windows.groupBy("anchor", "window_hash").agg(F.count("*").alias("times"))
-    found = found.where("times > 1").select("anchor", "window_hash")
+    found = keep(found.where("times > 1").select("anchor", "window_hash"), "substring-found")
     parts = windows.where("alone").join(found, ["anchor", "window_hash"], "left_semi")
     return alike.unionByName(parts.select("doc_id", "text_hash", "first", F.lit(1).alias("n")))
 
