@@ -5,18 +5,19 @@ from pyspark.sql import functions as F
 from newslens.llm.tables import keep
 
 
-def _large_star(edges):
+def _large_star(edges, name):
     """Link each larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy("a").agg(F.min("b").alias("m"))
-    smallest = smallest.select("a", F.least("a", "m").alias("m"))
+    # Read from a table, both sides of the join can be split where one node has many links.
+    smallest = keep(smallest.select("a", F.least("a", "m").alias("m")), name)
     linked = both.where("b > a").join(smallest, "a")
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges):
+def _small_star(edges, name):
     """Link a node and its smaller neighbours to the smallest of them. Edges have a > b."""
-    smallest = edges.groupBy("a").agg(F.min("b").alias("m"))
+    smallest = keep(edges.groupBy("a").agg(F.min("b").alias("m")), name)
     across = edges.join(smallest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return across.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
 
@@ -38,7 +39,8 @@ def connected_components(links, name):
     edges = keep(edges, name)
     before = _state(edges)
     while True:
-        edges = keep(_small_star(_large_star(edges)), name)
+        edges = keep(_large_star(edges, name), name)
+        edges = keep(_small_star(edges, name), name)
         after = _state(edges)
         if after == before:
             break
