@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newslens.llm import (
     decontamination,
+    license_scan,
     mixing,
     pii,
     quality_rules,
@@ -65,6 +66,11 @@ def op8_pii_surrogates(spark, sf_dir):
     return pii.replace_entities(read_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark, sf_dir):
+    """A row per licence notice of the documents."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dup(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -80,6 +86,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii_surrogates": op8_pii_surrogates,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 
