@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from newslens.llm import (
     decontamination,
     license_scan,
+    line_dedup,
     mixing,
     pii,
     quality_rules,
@@ -27,6 +28,11 @@ def op2_training_order(spark, sf_dir):
     return training_order.training_order(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    """Every document with the numbers of its lines that repeat earlier ones."""
+    return line_dedup.line_decisions(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_packages(spark, sf_dir):
     """Every page written into ZIP packages of WARC records, and read back by ranges."""
     path = scratch_path(spark, "warc-packages")
@@ -81,6 +87,7 @@ def op10_simhash_near_dup(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_training_order": op2_training_order,
+    "op3_line_dedup": op3_line_dedup,
     "op4_warc_packages": op4_warc_packages,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_source_mixing": op6_source_mixing,
