@@ -48,15 +48,16 @@ from newslens.operators.stories import (  # noqa: E402
     STORY_KEYS,
     impact_ranking as rank_impact,
     story_groups as group_stories,
+    story_totals,
     story_urls,
 )
-from newslens.plans.analysis import run_analysis  # noqa: E402
-from newslens.plans.ingest import ingest  # noqa: E402
-from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT  # noqa: E402
+from newslens.plans.analysis import run_analysis, run_story_analysis  # noqa: E402
+from newslens.plans.ingest import ingest, ingest_window  # noqa: E402
+from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG, fields  # noqa: E402
 from newslens.session import scratch_path, use_utc  # noqa: E402
 from newslens.sinks.export import export_csv, read_export  # noqa: E402
 from newslens.sinks.tables import write_events, write_summary  # noqa: E402
-from newslens.sources.archives import read_zipped_events, rows_from_archives  # noqa: E402
+from newslens.sources.archives import read_zipped_events  # noqa: E402
 from newslens.sources.codes import read_event_codes  # noqa: E402
 from newslens.sources.delimited import read_raw_events, read_raw_gkg  # noqa: E402
 from newslens.sources.manifest import select_feed_files as feed_window  # noqa: E402
@@ -93,7 +94,12 @@ SPEC = SearchSpec(
     goldstein_min=-8.0, tone_min=-9.0, mentions_min=5, limit=50,
 )
 SPIKES = dict(baseline_days=BASELINE_DAYS, spike_threshold=0.5)
-SCAN_COLUMNS = ["GLOBALEVENTID", "EventCode", "NumArticles", "AvgTone", "ActionGeo_FullName"]
+ACTOR_SPEC = SearchSpec(
+    actor1="CLICK|view", actor2="america", mentions_min=10, mentions_max=60, limit=200,
+)
+LITERAL_SPEC = SearchSpec(country="City1, NATION_1", literal=True, tone_max=5.0, limit=100)
+TOP_DEFAULT = 10_000
+WINDOW_HOURS = 240
 
 
 # ---------------------------------------------------------------------------------- inputs
@@ -236,7 +242,7 @@ def story_sample_urls(spark, sf_dir):
 
 
 def impact_ranking(spark, sf_dir):
-    ranked = rank_impact(group_stories(_enriched(spark, sf_dir)))
+    ranked = rank_impact(story_totals(_enriched(spark, sf_dir)))
     return ranked.select(*STORY_KEYS, "avg_goldstein_scale", "total_articles", "impact_score")
 
 
@@ -259,26 +265,21 @@ def _event_lines(spark, sf_dir):
 
 
 def scan_events_tsv(spark, sf_dir):
-    path = _landed_text(spark, _event_lines(spark, sf_dir), "events-tsv")
-    return read_raw_events(spark, path).select(*SCAN_COLUMNS)
+    """Every column of the scan; the dates as they stand in the file."""
+    return read_raw_events(spark, _landed_text(spark, _event_lines(spark, sf_dir), "events-tsv"))
 
 
 def scan_zipped_events(spark, sf_dir):
-    packed = adapter.archives(_event_lines(spark, sf_dir))
-    folder = scratch_path(spark, "events-zip").removeprefix("file:")
-    if "://" in folder:
-        # An object store has no folder that tasks can write plain files into.
-        return rows_from_archives(packed, RAW_EVENT).select(*SCAN_COLUMNS)
-    adapter.land_archives(packed, folder)
-    return read_zipped_events(spark, folder).select(*SCAN_COLUMNS)
+    """Every column of the scan, from zip archives."""
+    folder = scratch_path(spark, "events-zip")
+    adapter.land_archives(adapter.archives(_event_lines(spark, sf_dir)), folder)
+    return read_zipped_events(spark, folder)
 
 
 def scan_gkg_tsv(spark, sf_dir):
     documents = use_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
     path = _landed_text(spark, adapter.tsv_lines(adapter.raw_gkg(documents)), "gkg-tsv")
-    return read_raw_gkg(spark, path).select(
-        "GKGRECORDID", "SOURCECOMMONNAME", "DOCUMENTIDENTIFIER", "V2EXTRASXML"
-    )
+    return read_raw_gkg(spark, path)
 
 
 def load_event_codes(spark, sf_dir):
@@ -303,20 +304,80 @@ def select_feed_files(spark, sf_dir):
     return files.select("url", F.col("file_time").cast("timestamp_ntz").alias("file_time"))
 
 
-def events_table_rerun(spark, sf_dir):
-    """The events table after the same landed feed was ingested twice."""
-    feed = _landed_text(spark, _event_lines(spark, sf_dir), "feed")
+def _landed_codes(spark):
     codes = scratch_path(spark, "feed-codes")
     adapter.event_codes(spark).select(
         F.concat_ws(" ", "EventCode", "EventDescription").alias("CODE DESCRIPTION")
     ).write.options(header="true", sep="\u0001", quote="").csv(codes)
-    root = scratch_path(spark, "tables")
-    for _ in range(2):
-        ingest(spark, feed, codes, root)
+    return codes
+
+
+def _stored(spark, root):
     stored = _measures_as_double(read_events(spark, root))
     return stored.select(*CLEAN_COLUMNS, "EventDescription")
 
 
+def events_table_rerun(spark, sf_dir):
+    """The events table after the same landed feed was ingested twice."""
+    feed = _landed_text(spark, _event_lines(spark, sf_dir), "feed")
+    root = scratch_path(spark, "tables")
+    for _ in range(2):
+        ingest(spark, feed, _landed_codes(spark), root)
+    return _stored(spark, root)
+
+
+def events_table_update(spark, sf_dir):
+    """The events table after a second feed that repeats, changes and moves events to another day."""
+    raw = adapter.raw_events(_g(spark, sf_dir))
+    moved = raw.where("GLOBALEVENTID % 5 < 2").withColumns({
+        "SQLDATE": F.expr("IF(GLOBALEVENTID % 5 = 0, 20240229, SQLDATE)"),
+        "MonthYear": F.expr("IF(GLOBALEVENTID % 5 = 0, 202402, MonthYear)"),
+        "NumMentions": F.expr("IF(GLOBALEVENTID % 10 < 5, 500, NumMentions)"),
+    })
+    root, codes = scratch_path(spark, "tables"), _landed_codes(spark)
+    for name, rows in (("first", raw.where("GLOBALEVENTID % 7 > 0")), ("second", moved)):
+        ingest(spark, _landed_text(spark, adapter.tsv_lines(rows), name), codes, root)
+    return _stored(spark, root)
+
+
+def ingest_zipped_window(spark, sf_dir):
+    """The events table from those landed archives, one per hour, that the manifest window lists."""
+    folder = scratch_path(spark, "landed")
+    adapter.land_archives(adapter.hourly_archives(_g(spark, sf_dir), spark, sf_dir), folder)
+    manifest = _landed_text(spark, adapter.manifest_lines(use_utc(spark), sf_dir), "manifest")
+    root = scratch_path(spark, "tables")
+    ingest_window(spark, manifest, folder, _landed_codes(spark), root, NOW, WINDOW_HOURS)
+    return _stored(spark, root)
+
+
+def top_events_default(spark, sf_dir):
+    """The library's default of 10,000 events, with heavy ties, over each event four times."""
+    each = F.explode(F.expr("sequence(0, 3)")).alias("copy")
+    events = _g(spark, sf_dir).select("*", each)
+    events = events.withColumn("GLOBALEVENTID", F.expr("GLOBALEVENTID * 4 + copy")).drop("copy")
+    return most_covered(events, TOP_DEFAULT).select("GLOBALEVENTID", "num_articles", "lat", "lon")
+
+
+def search_actors(spark, sf_dir):
+    """Search of both actors with a mention range, over the stored table."""
+    root = scratch_path(spark, "tables")
+    write_events(_enriched(spark, sf_dir), root)
+    return _measures_as_double(search(read_events(spark, root), ACTOR_SPEC))
+
+
+def search_literal(spark, sf_dir):
+    return search(_enriched(spark, sf_dir), LITERAL_SPEC)
+
+
+def stored_impact(spark, sf_dir):
+    """The stored impact ranking of the story analysis."""
+    root = scratch_path(spark, "stories")
+    write_events(_enriched(spark, sf_dir), root)
+    run_story_analysis(spark, root)
+    ranked = read_table(spark, root, "top_impact_events")
+    return ranked.select(*STORY_KEYS, "avg_goldstein_scale", "total_articles", "impact_score")
+
+
 def analysis_job(spark, sf_dir):
     """Row count and a control total of each summary that the analysis stores."""
     root = scratch_path(spark, "analysis")
@@ -346,7 +407,8 @@ QUERIES = [
     search_events, search_kpis, search_export, spike_export, story_groups, story_sample_urls,
     impact_ranking, clean_events, enrich_events, scan_events_tsv, scan_zipped_events,
     scan_gkg_tsv, load_event_codes, select_feed_files, events_table_rerun,
-    analysis_job,
+    analysis_job, events_table_update, ingest_zipped_window, top_events_default, search_actors,
+    search_literal, stored_impact,
 ]
 
 
@@ -532,6 +594,48 @@ def _with(*parts):
     return "WITH " + ",\n".join(cte.strip() for cte in ctes) + "\n" + body
 
 
+# Raw feed columns as SQL over the cleaned events, where they differ from the cleaned column.
+_RAW = adapter.FILLERS | {
+    "SQLDATE": "strftime(event_date, '%Y%m%d')", "MonthYear": "year_month", "Year": "year(event_date)",
+    "IsRootEvent": "1", "GoldsteinScale": "goldstein_scale", "AvgTone": "avg_tone",
+    "NumMentions": "num_mentions", "NumArticles": "num_articles", "NumSources": "num_sources",
+    "ActionGeo_Long": "lon", "ActionGeo_Lat": "lat",
+    "DATEADDED": "concat(strftime(event_date, '%Y%m%d'), '000000')",
+}
+_GKG = adapter.GKG_FILLERS | {
+    "GKGRECORDID": "doc_id", "SOURCECOLLECTIONIDENTIFIER": "1", "SOURCECOMMONNAME": "source",
+    "DOCUMENTIDENTIFIER": "concat('http://docs.example/', CAST(doc_id AS VARCHAR))",
+    "V2EXTRASXML": "nullif(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), '')",
+}
+
+
+def _raw_sql(name, kind):
+    kind = {"STRING": "VARCHAR"}.get(kind, kind)
+    return f"CAST({_RAW.get(name, name)} AS {kind})"
+
+
+_UPDATED = """
+updated AS (
+  SELECT * REPLACE (
+    CASE WHEN GLOBALEVENTID % 5 = 0 THEN TIMESTAMP '2024-02-29' ELSE event_date END AS event_date,
+    CASE WHEN GLOBALEVENTID % 5 = 0 THEN '202402' ELSE year_month END AS year_month,
+    CASE WHEN GLOBALEVENTID % 5 < 2 AND GLOBALEVENTID % 10 < 5 THEN 500 ELSE num_mentions END AS num_mentions)
+  FROM en WHERE GLOBALEVENTID % 7 > 0 OR GLOBALEVENTID % 5 < 2)"""
+
+
+def _search_sql(spec, *texts):
+    where = " AND ".join([
+        *texts,
+        f"goldstein_scale BETWEEN {spec.goldstein_min} AND {spec.goldstein_max}",
+        f"avg_tone BETWEEN {spec.tone_min} AND {spec.tone_max}",
+        f"num_mentions BETWEEN {spec.mentions_min} AND {spec.mentions_max or 2**31 - 1}",
+    ])
+    return (
+        f"SELECT {', '.join(SEARCH_COLUMNS)} FROM en WHERE {where} "
+        f"ORDER BY num_articles DESC NULLS LAST, GLOBALEVENTID LIMIT {spec.limit}"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     spikes = _spikes(MIN_BASELINE)
     extremes_of = """
@@ -540,8 +644,9 @@ SELECT 'most_positive' AS polarity, Country_Name, Average_Tone FROM (
 UNION ALL
 SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
   SELECT * FROM tones ORDER BY Average_Tone ASC NULLS FIRST, Country_Name NULLS FIRST LIMIT 10) n"""
-    scan = f"""SELECT GLOBALEVENTID, EventCode, num_articles AS NumArticles,
-  avg_tone AS AvgTone, ActionGeo_FullName FROM g"""
+    scan = "SELECT " + ", ".join(
+        f'{_raw_sql(name, kind)} AS "{name}"' for name, kind in fields(RAW_EVENT)
+    ) + " FROM g"
     report = "SELECT * FROM spikes ORDER BY spike_score DESC, ActionGeo_CountryCode LIMIT 50"
     shown = ", ".join(
         ["event_date", "ActionGeo_FullName", "Actor1Name", "Actor2Name", "EventDescription",
@@ -624,10 +729,10 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
         "enrich_events": _with(_G, _EN, "SELECT * FROM en"),
         "scan_events_tsv": _with(_G, scan),
         "scan_zipped_events": _with(_G, scan),
-        "scan_gkg_tsv": "SELECT CAST(doc_id AS VARCHAR) AS GKGRECORDID, "
-        "source AS SOURCECOMMONNAME, "
-        "concat('http://docs.example/', CAST(doc_id AS VARCHAR)) AS DOCUMENTIDENTIFIER, "
-        "nullif(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), '') AS V2EXTRASXML FROM documents",
+        "scan_gkg_tsv": "SELECT " + ", ".join(
+            f'CAST({_GKG.get(name, "NULL")} AS {"INT" if kind == "INT" else "VARCHAR"}) AS "{name}"'
+            for name, kind in fields(RAW_GKG)
+        ) + " FROM documents",
         "load_event_codes": "SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS EventCode, "
         "replace(c_name, '#', ' number ') AS EventDescription FROM customer",
         "select_feed_files": "WITH hours AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) "
@@ -635,6 +740,32 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
         "AS url, CAST(h AS TIMESTAMP) AS file_time FROM hours "
         f"WHERE h > TIMESTAMP '{NOW}' - INTERVAL {FEED_HOURS + 3} HOUR",
         "events_table_rerun": _with(_G, _EN, "SELECT * FROM en"),
+        "events_table_update": _with(_G, _EN, _UPDATED, "SELECT * FROM updated"),
+        "ingest_zipped_window": _with(
+            _G, _EN,
+            "SELECT en.* FROM en JOIN events ON event_id = GLOBALEVENTID "
+            f"WHERE date_trunc('hour', ts) > TIMESTAMP '{NOW}' - INTERVAL {WINDOW_HOURS + 3} HOUR",
+        ),
+        "top_events_default": _with(
+            _G,
+            "SELECT GLOBALEVENTID * 4 + copy AS GLOBALEVENTID, num_articles, lat, lon "
+            "FROM g, (SELECT unnest(range(4)) AS copy) WHERE lat IS NOT NULL AND lon IS NOT NULL "
+            f"ORDER BY num_articles DESC NULLS LAST, 1 LIMIT {TOP_DEFAULT}",
+        ),
+        "search_actors": _with(
+            _G, _EN,
+            _search_sql(ACTOR_SPEC, f"regexp_matches(Actor1Name, '{ACTOR_SPEC.actor1}', 'i')",
+                        f"regexp_matches(Actor2Name, '{ACTOR_SPEC.actor2}', 'i')"),
+        ),
+        "search_literal": _with(
+            _G, _EN,
+            _search_sql(LITERAL_SPEC, f"contains(lower(ActionGeo_FullName), lower('{LITERAL_SPEC.country}'))"),
+        ),
+        "stored_impact": _with(
+            _STORED, _stories().replace("FROM en ", "FROM g ").replace("FROM en\n", "FROM g\n"),
+            f"SELECT {_KEYS}, avg_goldstein_scale, total_articles, "
+            "avg_goldstein_scale * total_articles AS impact_score FROM stories",
+        ),
         "analysis_job": _with(
             _STORED, spikes, _PLACES, _TOP,
             "SELECT 'top_events' AS table_name, count(*) AS n_rows, "

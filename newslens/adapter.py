@@ -6,10 +6,10 @@ scans can be checked against the rows they came from.
 """
 
 import io
-import os
 import zipfile
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -113,14 +113,36 @@ RAW_FROM_CLEAN = {
 }
 
 
+def _filler(position, name, kind):
+    """A value of its own for a column that the cleaned events do not have."""
+    if kind == "STRING":
+        return f"concat('{name} ', GLOBALEVENTID % {position + 50})"
+    return f"GLOBALEVENTID % {position + 50}"
+
+
+# SQL that both engines read, for the raw columns that nothing else fills.
+FILLERS = {
+    name: _filler(position, name, kind)
+    for position, (name, kind) in enumerate(fields(RAW_EVENT))
+    if name not in CLEAN_COLUMNS and name not in RAW_FROM_CLEAN
+}
+
+
 def raw_events(clean):
-    """61-column rows that clean up to `clean` again."""
-    return _shaped(clean, RAW_EVENT, {name: name for name in CLEAN_COLUMNS} | RAW_FROM_CLEAN)
+    """61-column rows that clean up to `clean` again, every column filled."""
+    filled = {name: name for name in CLEAN_COLUMNS} | FILLERS | RAW_FROM_CLEAN
+    return _shaped(clean, RAW_EVENT, filled)
+
+
+GKG_FILLERS = {
+    name: f"concat('{name} ', doc_id % {position + 50})"
+    for position, (name, kind) in enumerate(fields(RAW_GKG)) if kind == "STRING"
+}
 
 
 def raw_gkg(documents):
     """27-column knowledge-graph rows of the documents, with their whole texts."""
-    return _shaped(documents, RAW_GKG, {
+    return _shaped(documents, RAW_GKG, GKG_FILLERS | {
         "GKGRECORDID": "doc_id",
         "SOURCECOLLECTIONIDENTIFIER": "1",
         "SOURCECOMMONNAME": "source",
@@ -174,19 +196,45 @@ def archives(lines):
     return lines.mapInArrow(_pack, "path string, content binary")
 
 
+def hourly_archives(clean, spark, sf_dir):
+    """(path, content) rows, an archive for the events of each hour, named as in the manifest."""
+    hours = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("GLOBALEVENTID"), F.date_format("ts", "yyyyMMddHH'0000'").alias("hour")
+    )
+    raw = raw_events(clean)
+    lines = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in raw.columns))
+    by_hour = raw.join(hours, "GLOBALEVENTID").select("hour", lines.alias("line")).groupBy("hour").agg(
+        F.collect_list("line").alias("lines")
+    )
+
+    def pack(batches):
+        for batch in batches:
+            for hour, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
+                    target.writestr(f"{hour}.export.CSV", "\n".join(lines) + "\n")
+                yield pa.RecordBatch.from_pydict({"path": [f"{hour}.export.CSV.zip"], "content": [packed.getvalue()]})
+
+    return by_hour.mapInArrow(pack, "path string, content binary")
+
+
 def land_archives(packed, folder):
-    """Write (path, content) rows as files into a folder that every executor can reach.
+    """Write (path, content) rows as files of a folder, through the file system that it names.
 
     A file appears under its name only when complete, so a repeated task does no harm.
     """
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") and uri.startswith("file:") else uri
 
     def write(rows):
-        os.makedirs(folder, exist_ok=True)
+        system, place = pyarrow.fs.FileSystem.from_uri(uri)
+        system.create_dir(place, recursive=True)
         for row in rows:
-            target = os.path.join(folder, row.path)
-            part = f"{target}.{TaskContext.get().taskAttemptId()}.part"
-            with open(part, "wb") as out:
+            target = f"{place}/{row.path}"
+            # Readers skip names that start with a dot or an underscore.
+            part = f"{place}/_{row.path}.{TaskContext.get().taskAttemptId()}"
+            with system.open_output_stream(part) as out:
                 out.write(row.content)
-            os.replace(part, target)
+            system.move(part, target)
 
     packed.foreachPartition(write)

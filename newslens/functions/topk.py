@@ -3,12 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Merge tasks between the scan and the last task; a fan-in, not a limit on rows.
-MERGE_BUCKETS = 256
-
 
 def _magnitude(measure):
-    """Monotone bucket of an integer measure; at most 64 * 63 + 1 buckets for a BIGINT."""
+    """Monotone bucket of an integer; at most 64 * 63 + 1 buckets for a BIGINT."""
     return F.floor(F.log2(F.greatest(measure, F.lit(1))) * 64).cast("int")
 
 
@@ -33,22 +30,47 @@ def measure_cutoff(df, measure, k):
     )
 
 
-def top_by_measure(df, measure, k, *tiebreak):
-    """First k rows by descending measure (NULLs last), ties in `tiebreak` order.
+def exact_cutoff(df, measure, k):
+    """One-row frame: the k-th largest measure (the least one if there are fewer), the rows still
+    needed among those that have it, and whether there are k measures at all."""
+    col = F.col(measure)
+    counts = df.where(col >= measure_cutoff(df, measure, k).scalar()).groupBy(measure).agg(
+        F.count("*").alias("n")
+    )
+    above = F.sum("n").over(Window.orderBy(col.desc())) - F.col("n")
+    last = counts.select(col.alias("cutoff"), "n", above.alias("rows_above")).where(F.col("rows_above") < k)
+    return last.agg(
+        F.min("cutoff").alias("cutoff"),
+        F.min(F.lit(k) - F.col("rows_above")).alias("needed"),
+        F.coalesce(F.sum("n") >= k, F.lit(False)).alias("enough"),
+    )
 
-    The cutoff drops nearly all rows at the scan. What is left may still be large when many rows
-    tie on the cutoff, so those rows are reduced to k per merge bucket first.
-    """
-    order = [F.col(measure).desc(), *tiebreak]
-    reaching = df.where(
-        F.col(measure).isNull() | (F.col(measure) >= measure_cutoff(df, measure, k).scalar())
+
+def id_cutoff(df, measure, ident, cut):
+    """One-row frame with an id that covers the rows needed among those tied on the cutoff."""
+    tied = df.where(F.col(measure) == cut.select("cutoff").scalar())
+    histogram = tied.groupBy(_magnitude(F.col(ident)).alias("bucket")).agg(
+        F.count("*").alias("n"), F.max(ident).alias("high")
     )
-    per_bucket = Window.partitionBy("_bucket").orderBy(*order)
+    before = F.sum("n").over(Window.orderBy(F.col("bucket").asc_nulls_first())) - F.col("n")
     return (
-        reaching.withColumn("_bucket", F.spark_partition_id() % MERGE_BUCKETS)
-        .withColumn("_rank", F.row_number().over(per_bucket))
-        .where(F.col("_rank") <= k)
-        .drop("_bucket", "_rank")
-        .orderBy(*order)
-        .limit(k)
+        histogram.select("high", before.alias("rows_before"))
+        .where(F.col("rows_before") < cut.select("needed").scalar())
+        .agg(F.max("high").alias("id_cutoff"))
     )
+
+
+def top_by_measure(df, measure, k, ident, *tiebreak):
+    """First k rows by descending measure (NULLs last), ties by ascending `ident`, then `tiebreak`.
+
+    Small histograms give the k-th measure and an id that covers the rows needed among its ties;
+    as scalar subqueries both reach the scan. About k rows pass, and at most a 64th of the range
+    of ids among the ties more, before anything wide is sorted. Rows without a measure pass only
+    if there are fewer than k with one.
+    """
+    cut = exact_cutoff(df, measure, k)
+    col, low = F.col(measure), cut.select("cutoff").scalar()
+    covered = F.col(ident).isNull() | (F.col(ident) <= id_cutoff(df, measure, ident, cut).scalar())
+    rest = col.isNull() & ~cut.select("enough").scalar()
+    reaching = df.where((col > low) | ((col == low) & covered) | rest)
+    return reaching.orderBy(col.desc(), F.asc(ident), *tiebreak).limit(k)

@@ -19,7 +19,6 @@ DISPLAY_FIRST = [
     "QuadClass", "num_mentions", "num_articles", "goldstein_scale", "avg_tone", "SOURCEURL",
 ]
 NOT_DISPLAYED = ["lon", "lat"]
-SINGLE_PASS_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -79,16 +78,11 @@ def matching_events(events, spec):
 
 
 def search_events(events, spec):
-    """Most covered matching events.
-
-    A search returns 50 rows by default and the form asks for at most 500. Each task then hands
-    over at most that many, so a single pass is cheapest; larger limits are cut down in two.
-    """
-    matches = matching_events(events, spec)
-    if spec.limit > SINGLE_PASS_LIMIT:
-        found = top_by_measure(matches, "num_articles", spec.limit, F.asc("GLOBALEVENTID"))
-    else:
-        found = matches.orderBy(F.desc("num_articles"), "GLOBALEVENTID").limit(spec.limit)
+    """Most covered matching events; a code with several descriptions gives a row for each."""
+    found = top_by_measure(
+        matching_events(events, spec), "num_articles", spec.limit, "GLOBALEVENTID",
+        "EventDescription", "SOURCEURL",
+    )
     return found.select(*SEARCH_COLUMNS)
 
 
@@ -113,7 +107,7 @@ def display_columns(found):
 def top_events(events, limit=10_000):
     """Most covered events that have both coordinates, over all days."""
     located = events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return top_by_measure(located, "num_articles", limit, F.asc("GLOBALEVENTID"))
+    return top_by_measure(located, "num_articles", limit, "GLOBALEVENTID", "SOURCEURL")
 
 
 def map_points(top, day, limit=1000):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.operators.countries import CODE, country_day_counts
 
+# The columns of a spike report, in order.
 SPIKE_COLUMNS = [
     CODE, "spike_events", "baseline_events", "baseline_days_count",
     "avg_baseline_per_day", "spike_score", "is_spike",

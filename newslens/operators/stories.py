@@ -35,8 +35,9 @@ def story_urls(events, max_urls=20):
     )
 
 
-def _totals(events):
-    return events.groupBy(*STORY_KEYS).agg(
+def story_totals(events, min_sources=20):
+    """Counts, sums and averages of each story with more than `min_sources` sources in total."""
+    totals = events.where(F.col(CODE).isNotNull()).groupBy(*STORY_KEYS).agg(
         F.count("*").alias("total_events"),
         F.sum("num_mentions").alias("total_mentions"),
         F.sum("num_articles").alias("total_articles"),
@@ -44,6 +45,7 @@ def _totals(events):
         F.avg("avg_tone").alias("average_tone"),
         F.avg("goldstein_scale").alias("avg_goldstein_scale"),
     )
+    return totals.where(F.col("total_sources") > min_sources)
 
 
 def _modes(events):
@@ -90,8 +92,7 @@ def story_groups(events, min_sources=20, max_urls=20):
     """
     located = events.where(F.col(CODE).isNotNull())
     parts = (
-        _totals(located)
-        .where(F.col("total_sources") > min_sources)
+        story_totals(events, min_sources)
         .unionByName(_modes(located), allowMissingColumns=True)
         .unionByName(_sample_urls(located, max_urls), allowMissingColumns=True)
     )
@@ -107,6 +108,6 @@ def story_groups(events, min_sources=20, max_urls=20):
 
 
 def impact_ranking(stories):
-    """Stories by average Goldstein value times articles, most destabilising first."""
+    """Stories, or just their totals, by average Goldstein value times articles, most destabilising first."""
     score = F.col("avg_goldstein_scale") * F.col("total_articles")
     return stories.withColumn("impact_score", score).orderBy("impact_score", *STORY_KEYS)

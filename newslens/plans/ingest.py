@@ -5,36 +5,44 @@ from pyspark.sql import functions as F
 
 from newslens.operators.clean import clean_events
 from newslens.operators.enrich import enrich_events
+from newslens.session import scratch_path
+from newslens.sinks.files import delete
 from newslens.sinks.tables import event_key, merge_events
 from newslens.sources.archives import read_zipped_events
 from newslens.sources.codes import read_event_codes
 from newslens.sources.delimited import read_raw_events
-
-
-def build_events(raw, codes):
-    """Clean and enriched events, one row per input row and matching code."""
-    return enrich_events(clean_events(raw), codes)
+from newslens.sources.manifest import select_feed_files
 
 
 def one_row_per_event(clean):
     """Drop repeated deliveries of an event; of differing ones the greatest row stays.
 
-    An aggregate, so repeats collapse inside the map tasks before the shuffle, and the surviving
-    row does not depend on task timing.
+    Repeats are rare, so a count per key finds them first; only rows of repeated keys go through
+    the aggregate over whole rows. The surviving row does not depend on task timing.
     """
+    keyed = clean.withColumn("_key", event_key(clean))
+    repeated = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
     row = F.struct(*(F.col(c) for c in clean.columns))
-    return (
-        clean.groupBy(event_key(clean).alias("_key")).agg(F.max(row).alias("row")).select("row.*")
-    )
+    several = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.max(row).alias("row"))
+    single = keyed.join(repeated, "_key", "left_anti").drop("_key")
+    return single.unionByName(several.select("row.*"))
 
 
-def read_feed(spark, paths):
-    """Raw events of landed files: zip archives, or tab-separated text."""
+def feed_paths(spark, paths):
+    """The files that paths, folders and globs name: (zip archives, tab-separated text)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no feed files given")
-    zipped = [p for p in paths if p.lower().endswith(".zip")]
-    plain = [p for p in paths if not p.lower().endswith(".zip")]
+    files = spark.read.format("binaryFile").load(paths).inputFiles()
+    if not files:
+        raise ValueError(f"no feed files in {paths}")
+    zipped = [f for f in files if f.lower().endswith(".zip")]
+    return zipped, [f for f in files if not f.lower().endswith(".zip")]
+
+
+def read_feed(spark, paths):
+    """Raw events of landed files, zip archives and text mixed at will."""
+    zipped, plain = feed_paths(spark, paths)
     scans = []
     if zipped:
         scans.append(read_zipped_events(spark, zipped))
@@ -43,18 +51,39 @@ def read_feed(spark, paths):
     return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
 
 
-def ingest(spark, feed_paths, code_paths, root):
-    """Parse the feed once into staging, then merge it into `events`. Returns row counts.
+def ingest(spark, feed, code_paths, root):
+    """Parse the feed once into a scratch table, then merge it into `events`. Returns row counts.
 
-    Running it again on the same files leaves the table as it is.
+    Running it again on the same files leaves the table as it is. A feed without any event id is
+    an error: it is no event feed.
     """
     read, cleaned, staged = Observation("read"), Observation("cleaned"), Observation("staged")
     rows = F.count(F.lit(1)).alias("rows")
-    raw = read_feed(spark, feed_paths).observe(read, rows)
-    clean = one_row_per_event(clean_events(raw).observe(cleaned, rows))
-    events = enrich_events(clean, read_event_codes(spark, code_paths)).observe(staged, rows)
-    staging = f"{root}/_staging/new"
-    events.write.mode("overwrite").parquet(staging)
+    raw = read_feed(spark, feed).observe(read, rows, F.count("GLOBALEVENTID").alias("ids"))
+    clean = clean_events(raw).observe(cleaned, rows)
+    parsed = scratch_path(spark, "parsed")
+    clean.write.parquet(parsed)
+    if not read.get["ids"]:
+        raise ValueError(f"no event in the feed {feed}")
+    once = one_row_per_event(spark.read.parquet(parsed))
+    events = enrich_events(once, read_event_codes(spark, code_paths)).observe(staged, rows)
+    staging = scratch_path(spark, "staged")
+    events.write.parquet(staging)
     merge_events(spark, spark.read.parquet(staging), root)
+    delete(spark, parsed)
+    delete(spark, staging)
     return {name: seen.get["rows"] for name, seen in
             (("read", read), ("cleaned", cleaned), ("staged", staged))}
+
+
+def window_files(spark, manifest, landed, list_type, now, hours):
+    """Landed files that the manifest lists for the last `hours`."""
+    listed = select_feed_files(spark, manifest, list_type, now, hours)
+    # One name per 15 minutes of the window.
+    names = {r.name for r in listed.select(F.element_at(F.split("url", "/"), -1).alias("name")).collect()}
+    return [f for group in feed_paths(spark, landed) for f in group if f.rsplit("/", 1)[-1] in names]
+
+
+def ingest_window(spark, manifest, landed, code_paths, root, now, hours=168):
+    """Ingest of the last `hours` as the manifest lists them, from archives that have landed."""
+    return ingest(spark, window_files(spark, manifest, landed, "export", now, hours), code_paths, root)

@@ -1,9 +1,11 @@
 """Result tables as Parquet folders under one root."""
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import functions as F
 
 from newslens.schemas import STORED_EVENT, fields, require_columns
+from newslens.sinks.files import children, delete, exists
 from newslens.sources.tables import read_stored_events
 
 # Row order inside the tables with day folders, next to the day itself. The last column splits
@@ -14,8 +16,6 @@ LAYOUTS = {
     "top_impact_events": ["ActionGeo_CountryCode", "total_articles", "EventBaseCode"],
 }
 DESCENDING = {"num_articles", "total_articles"}
-# Up to this many touched days are passed to the scan as a literal list, which prunes folders.
-MAX_PRUNED_DAYS = 2000
 
 
 def _write_by_day(df, path, layout, overwrite_mode):
@@ -53,29 +53,68 @@ def event_key(df):
     return F.coalesce(F.col("GLOBALEVENTID"), F.xxhash64(*(F.col(c) for c in df.columns)))
 
 
+def _keyed(df, *columns):
+    """The columns with the event's key and a hash of the whole row."""
+    whole = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    return df.select(*columns, event_key(df).alias("_key"), whole.alias("_hash"))
+
+
 def merge_events(spark, new_rows, root):
     """Add already staged rows to the events table; an id that comes again is replaced.
 
-    A day is rewritten as a whole, so the old rows of the touched days are carried along. They
-    are staged beside the table first: if the job dies while the days are being replaced, the
-    complete rows are still there and the write can be repeated.
+    Rows that the table already has are left out, so a repeated feed rewrites nothing. Of the
+    others, the days they fall on and the days on which their ids are stored are rewritten as a
+    whole. The complete days are staged in a folder of this run before any is replaced; if the job
+    dies in between, `recover` of the next run repeats the write. One writer at a time.
     """
+    recover(spark, root)
     existing = read_stored_events(spark, root)
+    new_rows = as_stored(new_rows)
     if existing is None:
         write_events(new_rows, root)
         return
-    existing, new_rows = as_stored(existing), as_stored(new_rows)
-    days = new_rows.select("event_date").distinct()
-    known_days = [row.event_date for row in days.limit(MAX_PRUNED_DAYS + 1).collect()]
-    if len(known_days) <= MAX_PRUNED_DAYS:
-        touched = existing.where(F.col("event_date").isin(known_days))
-    else:
-        touched = existing.join(days, "event_date", "left_semi")
-    new_keys = new_rows.select(event_key(new_rows).alias("_key"))
-    kept = touched.withColumn("_key", event_key(touched)).join(new_keys, "_key", "left_anti")
-    merged = f"{root}/_staging/merged"
-    kept.drop("_key").unionByName(new_rows).write.mode("overwrite").parquet(merged)
-    write_events(spark.read.schema(STORED_EVENT).parquet(merged), root)
+    existing = as_stored(existing)
+    run = f"{root}/_staging/{uuid.uuid4().hex}"
+    _keyed(new_rows, *new_rows.columns).write.parquet(f"{run}/new")
+    keyed = spark.read.parquet(f"{run}/new")
+    days = keyed.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
+    near = existing.where(F.col("event_date").between(F.lit(days.first), F.lit(days.last)))
+    same = _keyed(near, "event_date")
+    changed = keyed.join(same, ["event_date", "_key", "_hash"], "left_anti")
+    changed.select("_key", *new_rows.columns).write.parquet(f"{run}/changed")
+    changed = spark.read.parquet(f"{run}/changed")
+    if changed.isEmpty():
+        delete(spark, run)
+        return
+    # Two columns of the stored table tell on which days the ids are now.
+    stored_keys = existing.select("event_date", event_key(existing).alias("_key"))
+    old_days = stored_keys.join(changed.select("_key"), "_key", "left_semi").select("event_date")
+    changed.select("event_date").union(old_days).distinct().coalesce(1).write.parquet(f"{run}/days")
+    touched = existing.join(spark.read.parquet(f"{run}/days"), "event_date", "left_semi")
+    kept = touched.withColumn("_key", event_key(touched)).join(changed.select("_key"), "_key", "left_anti")
+    rows = kept.select(*new_rows.columns).unionByName(changed.select(*new_rows.columns))
+    rows.write.parquet(f"{run}/merged")
+    _publish(spark, run, root)
+
+
+def _publish(spark, run, root):
+    """Replace the days of a staged run, drop those that lost all their rows, forget the run."""
+    merged = spark.read.schema(STORED_EVENT).parquet(f"{run}/merged")
+    write_events(merged, root)
+    days = spark.read.parquet(f"{run}/days")
+    # At most as many as the run touches, and each is a folder to delete.
+    for row in days.join(merged.select("event_date"), "event_date", "left_anti").toLocalIterator():
+        delete(spark, f"{root}/events/event_date={row.event_date}")
+    delete(spark, run)
+
+
+def recover(spark, root):
+    """Finish the write of a run that died after its days were staged; drop what is incomplete."""
+    for run in children(spark, f"{root}/_staging"):
+        if exists(spark, f"{run}/merged/_SUCCESS"):
+            _publish(spark, run, root)
+        else:
+            delete(spark, run)
 
 
 def write_summary(df, root, name):
@@ -93,11 +132,6 @@ def write_summary(df, root, name):
         df.write.mode("overwrite").parquet(path)
 
 
-def append_table(df, root, name):
-    """Append rows to a table that has no day folders."""
-    df.write.mode("append").parquet(f"{root}/{name}")
-
-
 def clear_tables(spark, root, names):
     """Empty the named tables. Works through Spark's own writer, so on any file system."""
     for name in names:
@@ -108,10 +142,6 @@ def clear_tables(spark, root, names):
                     spark.createDataFrame([], STORED_EVENT), path, LAYOUTS["events"], "static"
                 )
             continue
-        try:
+        if exists(spark, path):
             schema = spark.read.parquet(path).schema
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                continue
-            raise
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

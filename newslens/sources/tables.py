@@ -1,19 +1,16 @@
 """Stored tables, read back with fixed schemas or as written."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from newslens.schemas import STORED_EVENT
+from newslens.sinks.files import exists
 
 
 def read_stored_events(spark, root):
     """The events table as stored (event_date DATE), or None before the first ingest."""
-    try:
-        return spark.read.schema(STORED_EVENT).parquet(f"{root}/events")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not exists(spark, f"{root}/events"):
+        return None
+    return spark.read.schema(STORED_EVENT).parquet(f"{root}/events")
 
 
 def _days_as_timestamps(df):

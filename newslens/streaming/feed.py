@@ -8,6 +8,8 @@ from newslens.operators.clean import clean_events
 from newslens.operators.enrich import enrich_events
 from newslens.schemas import RAW_EVENT
 from newslens.plans.ingest import one_row_per_event
+from newslens.session import scratch_path
+from newslens.sinks.files import delete
 from newslens.sinks.tables import merge_events
 from newslens.sources.archives import rows_from_archives
 from newslens.sources.codes import read_event_codes
@@ -34,12 +36,16 @@ def ingest_landed(spark, folder, code_paths, root, checkpoint, zipped=False):
     de-duplication state has to be kept for late reports about old days.
     """
     codes = read_event_codes(spark, code_paths)
-    staging = f"{root}/_staging/new"
 
     def merge_batch(batch, batch_id):
-        events = enrich_events(one_row_per_event(clean_events(batch)), codes)
-        events.write.mode("overwrite").parquet(staging)
-        merge_events(batch.sparkSession, batch.sparkSession.read.parquet(staging), root)
+        spark = batch.sparkSession
+        parsed, staging = scratch_path(spark, "parsed"), scratch_path(spark, "staged")
+        clean_events(batch).write.parquet(parsed)
+        events = enrich_events(one_row_per_event(spark.read.parquet(parsed)), codes)
+        events.write.parquet(staging)
+        merge_events(spark, spark.read.parquet(staging), root)
+        delete(spark, parsed)
+        delete(spark, staging)
 
     return (
         stream_raw_events(spark, folder, zipped)

@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta, timezone
 
 import pytest
 
-from newslens.functions.topk import measure_cutoff, top_by_measure
+from newslens.functions.topk import exact_cutoff, id_cutoff, measure_cutoff, top_by_measure
 from newslens.operators.search import (
     SEARCH_COLUMNS,
     SearchSpec,
@@ -136,9 +136,18 @@ def test_cutoff_keeps_the_top_and_drops_most_rows(spark):
     df = spark.range(100_000).withColumn("m", F.col("id").cast("int"))
     cutoff = measure_cutoff(df, "m", 100).first().cutoff
     assert 98_000 < cutoff <= 99_900
-    top = top_by_measure(df, "m", 100, F.asc("id"))
+    top = top_by_measure(df, "m", 100, "id")
     assert [r.id for r in top.collect()] == list(range(99_999, 99_899, -1))
-    assert top_by_measure(df.where("m < 0"), "m", 5, F.asc("id")).count() == 0
+    assert top_by_measure(df.where("m < 0"), "m", 5, "id").count() == 0
+
+
+def test_few_tied_and_null_rows_pass_before_the_sort(spark):
+    df = spark.range(20_000).withColumn("m", F.expr("IF(id % 4 = 0, NULL, 7)"))
+    cut = exact_cutoff(df, "m", 50).first()
+    assert (cut.cutoff, cut.needed, cut.enough) == (7, 50, True)
+    limit = id_cutoff(df, "m", "id", exact_cutoff(df, "m", 50)).first().id_cutoff
+    assert limit < 150
+    assert [r.id for r in top_by_measure(df, "m", 4, "id").collect()] == [1, 2, 3, 5]
 
 
 def test_map_points_and_dates(spark):

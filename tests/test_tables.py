@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from newslens.operators.search import SearchSpec
 from newslens.plans.analysis import SUMMARY_TABLES, clear, run_analysis, run_story_analysis
 from newslens.plans.dashboard import country_insights, event_spikes, global_trends
-from newslens.plans.ingest import ingest, one_row_per_event
+from newslens.plans.ingest import ingest, ingest_window, one_row_per_event
 from newslens.session import scratch_path
-from newslens.sinks.tables import append_table, merge_events, write_events
+from newslens.sinks import tables
+from newslens.sinks.tables import merge_events, write_events
 from newslens.sources.tables import (
     SUMMARY_ORDER,
     read_events,
@@ -109,13 +110,69 @@ def test_failed_write_raises(spark, tmp_path):
     blocked = tmp_path / "blocked"
     blocked.write_text("a file, not a folder")
     with pytest.raises(Exception):
-        append_table(spark.range(1), str(blocked), "t")
+        write_events(events(spark, [{}]), str(blocked))
 
 
-def test_append(spark, tmp_path):
-    for _ in range(2):
-        append_table(spark.range(2), str(tmp_path), "t")
-    assert read_table(spark, str(tmp_path), "t").count() == 4
+def test_moved_id_leaves_its_old_day(spark, tmp_path):
+    root = str(tmp_path / "db")
+    write_events(events(spark, [dict(GLOBALEVENTID=1), dict(GLOBALEVENTID=2, event_date=day(2))]), root)
+    merge_events(spark, events(spark, [dict(GLOBALEVENTID=1, event_date=day(3))]), root)
+    rows = {r.GLOBALEVENTID: r.event_date for r in read_events(spark, root).collect()}
+    assert rows == {1: day(3), 2: day(2)}
+    assert not (tmp_path / "db" / "events" / "event_date=2024-03-01").exists()
+
+
+def test_repeated_rows_rewrite_nothing(spark, tmp_path):
+    root = str(tmp_path / "db")
+    rows = events(spark, [dict(GLOBALEVENTID=i, event_date=day(1 + i % 2)) for i in range(4)])
+    write_events(rows, root)
+    files = sorted(p.name for p in (tmp_path / "db" / "events").rglob("*.parquet"))
+    merge_events(spark, rows.limit(3), root)
+    assert sorted(p.name for p in (tmp_path / "db" / "events").rglob("*.parquet")) == files
+
+
+def test_a_run_that_died_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "db")
+    write_events(events(spark, [dict(GLOBALEVENTID=1), dict(GLOBALEVENTID=2)]), root)
+
+    def die(*_):
+        raise RuntimeError("died")
+
+    monkeypatch.setattr(tables, "write_events", die)
+    with pytest.raises(RuntimeError, match="died"):
+        merge_events(spark, events(spark, [dict(GLOBALEVENTID=3)]), root)
+    monkeypatch.undo()
+    # The write had begun: the day it was to replace is gone.
+    for file in (tmp_path / "db" / "events").rglob("*.parquet"):
+        file.write_bytes(b"")
+        file.unlink()
+    merge_events(spark, events(spark, [dict(GLOBALEVENTID=4, event_date=day(2))]), root)
+    assert sorted(r.GLOBALEVENTID for r in read_events(spark, root).collect()) == [1, 2, 3, 4]
+    assert not list((tmp_path / "db" / "_staging").glob("*"))
+
+
+def test_folder_of_mixed_files_and_empty_feed(spark, tmp_path, codes):
+    folder, root = tmp_path / "in", str(tmp_path / "db")
+    folder.mkdir()
+    zip_file(folder / "a.zip", a_CSV="\n".join(LINES[:5]))
+    write(folder / "b.CSV", *LINES[5:])
+    assert ingest(spark, str(folder), codes, root)["staged"] == 12
+    assert ingest(spark, f"{folder}/*.zip", codes, root)["read"] == 5
+    with pytest.raises(ValueError, match="no event"):
+        ingest(spark, write(tmp_path / "other.txt", "no", "events"), codes, root)
+    with pytest.raises(ValueError, match="no feed files"):
+        ingest(spark, [], codes, root)
+
+
+def test_window_of_landed_archives(spark, tmp_path, codes):
+    folder, root = tmp_path / "in", str(tmp_path / "db")
+    folder.mkdir()
+    stamps = ["20240301000000", "20240302000000", "20240303000000"]
+    for n, stamp in enumerate(stamps):
+        zip_file(folder / f"{stamp}.export.CSV.zip", a_CSV="\n".join(LINES[n * 4 : n * 4 + 4]))
+    manifest = write(tmp_path / "list.txt", *(f"1 x http://h/{s}.export.CSV.zip" for s in stamps))
+    ingest_window(spark, manifest, str(folder), codes, root, datetime(2024, 3, 3, 1), hours=24)
+    assert sorted(r.GLOBALEVENTID for r in read_events(spark, root).collect()) == list(range(5, 13))
 
 
 def test_analysis_and_dashboard(spark, tmp_path, codes):
@@ -189,16 +246,6 @@ def test_stream_of_archives(spark, tmp_path, codes):
     assert sorted(r.GLOBALEVENTID for r in read_events(spark, root).collect()) == [1, 2, 3]
 
 
-class Cluster:
-    """Stands in for a cluster's session; the settings are static ones."""
-
-    def __init__(self, **settings):
-        self.conf = {key.replace("_", "."): value for key, value in settings.items()}
-
-
-def test_scratch_uses_the_clusters_shared_folder(spark):
+def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    cluster = Cluster(spark_master="yarn", spark_checkpoint_dir="hdfs://shared/folder/")
-    assert scratch_path(cluster, "x").startswith("hdfs://shared/folder/newslens/x-")
-    with pytest.raises(ValueError):
-        scratch_path(Cluster(spark_master="yarn"), "x")
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
