@@ -51,7 +51,7 @@ def token_frequencies(source):
     counted = source.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(
         F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")
     )
-    found = counted.toPandas()
+    found = counted.toArrow()
     table = np.zeros(SLOTS, np.int32)
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
