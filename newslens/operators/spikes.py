@@ -45,16 +45,18 @@ def day_ranks(events, day_col="event_date"):
     return _ranked(_days_present(country_day_counts(events, day_col))).orderBy("day_rank")
 
 
-def country_event_spike(
-    events, day_col="event_date", baseline_days=5, spike_threshold=0.5, min_baseline=200.0
-):
+def country_event_spike(events, day_col="event_date", **options):
+    """`spikes_of_counts` over the events' own country-day counts."""
+    return spikes_of_counts(country_day_counts(events, day_col), **options)
+
+
+def spikes_of_counts(counts, baseline_days=5, spike_threshold=0.5, min_baseline=200.0):
     """Spike score per country: last complete day against the average of the days before it.
 
     `baseline_days` may be fractional (hours / 24); only whole days count. The average is over
     the baseline days on which the country is present. Countries with an average of at most
     `min_baseline` drop out; a negative value keeps those without any baseline.
     """
-    counts = country_day_counts(events, day_col)
     last_rank = SPIKE_RANK + math.floor(baseline_days)
     # Only the newest `last_rank` days matter, which bounds what is ranked and broadcast.
     recent = _ranked(_days_present(counts).orderBy(F.desc("event_ts")).limit(last_rank))

@@ -7,7 +7,7 @@ from newslens.operators.countries import (
     tone_by_country,
 )
 from newslens.operators.search import top_events
-from newslens.operators.spikes import country_event_spike
+from newslens.operators.spikes import spikes_of_counts
 from newslens.operators.stories import impact_ranking, story_groups
 from newslens.sinks.tables import clear_tables, write_summary
 from newslens.sources.tables import read_events, read_table
@@ -22,7 +22,7 @@ SUMMARY_TABLES = [
 
 
 def run_analysis(spark, root, hours=DEFAULT_HOURS, top_limit=10_000, min_baseline=200.0):
-    """The four dashboard summaries. Each run replaces them."""
+    """The four dashboard summaries and the country-day counts. Each run replaces them."""
     events = read_events(spark, root)
     write_summary(top_events(events, top_limit), root, "top_events")
     # Small next to the events, and both country summaries start from it.
@@ -32,17 +32,19 @@ def run_analysis(spark, root, hours=DEFAULT_HOURS, top_limit=10_000, min_baselin
         write_summary(tone_by_country(places), root, "tone_by_country")
     finally:
         places.unpersist()
-    spikes = country_event_spike(events, baseline_days=hours / 24, min_baseline=min_baseline)
+    # One scan counts the days; spikes then read the counts.
+    write_summary(events_by_time_and_country(events), root, "events_by_time_and_country")
+    counts = read_table(spark, root, "events_by_time_and_country")
+    spikes = spikes_of_counts(counts, baseline_days=hours / 24, min_baseline=min_baseline)
     write_summary(spikes, root, "country_event_spike")
 
 
 def run_story_analysis(spark, root, min_sources=20, max_urls=20):
-    """Story groups, their impact ranking and day counts; not part of the dashboard run."""
+    """Story groups and their impact ranking; not part of the dashboard run."""
     events = read_events(spark, root)
     write_summary(story_groups(events, min_sources, max_urls), root, "separate_events")
     stories = read_table(spark, root, "separate_events")
     write_summary(impact_ranking(stories), root, "top_impact_events")
-    write_summary(events_by_time_and_country(events), root, "events_by_time_and_country")
 
 
 def clear(spark, root, events_too):
