@@ -12,6 +12,8 @@ from newslens.llm.tables import keep
 PERCENT = 80
 # Token frequencies are counted by hash in so many slots: a table of bounded size.
 SLOTS = 1 << 22
+# Bytes of text that a task takes apart at a time.
+CHUNK_BYTES = 2 << 20
 _SALT = np.uint64(0x27D4EB2F165667C5)
 
 
@@ -35,6 +37,17 @@ def _line_sets(texts):
     return np.array(rows, np.int64), np.array(lines, np.int32), at[fresh], hashes[fresh]
 
 
+def _chunks(batch, column):
+    """Slices of a batch with a few megabytes of text each, whatever rows a batch holds."""
+    sizes = np.cumsum([len(t) if t is not None else 0 for t in batch.column(column).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _slot(hashes):
     return (hashes >> np.uint64(8)).astype(np.int64) % SLOTS
 
@@ -43,7 +56,7 @@ def token_frequencies(source):
     """Array of the number of lines by slot of their words. It grows with SLOTS only."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _chunks(whole, 0)):
             _, _, _, hashes = _line_sets(batch.column(0).to_pylist())
             slots, counts = np.unique(_slot(hashes), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts)], ["slot", "n"])
@@ -78,7 +91,7 @@ def lines_of(source, frequencies, percent=PERCENT):
 
     def run(batches):
         counts = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _chunks(whole, 2)):
             rows, lines, at, hashes = _line_sets(batch.column(2).to_pylist())
             if not len(rows):
                 continue
