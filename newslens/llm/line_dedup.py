@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,62 +13,71 @@ from newslens.llm.tables import keep
 PERCENT = 80
 # Token frequencies are counted by hash in so many slots: a table of bounded size.
 SLOTS = 1 << 22
+# Bits of the table of lines whose words a check needs; a multiple of 2^15.
+BITS = 1 << 27
 # Bytes of text that a task takes apart at a time.
 CHUNK_BYTES = 2 << 20
 _SALT = np.uint64(0x27D4EB2F165667C5)
+_STEP = 40503
 
 
-def _line_sets(texts):
-    """(row, line, hash) of the different words of each line with a word, sorted by line."""
-    rows, lines, sizes, words = [], [], [], []
-    for row, text in enumerate(texts):
-        for n, line in enumerate((text or b"").split(b"\n")):
-            found = line.split()
-            if found:
-                rows.append(row)
-                lines.append(n)
-                sizes.append(len(found))
-                words += found
-    at = np.repeat(np.arange(len(rows)), sizes)
-    hashes = word_hashes(words)
-    order = np.lexsort((hashes, at))
-    at, hashes = at[order], hashes[order]
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])
-    return np.array(rows, np.int64), np.array(lines, np.int32), at[fresh], hashes[fresh]
+def _chunks(batches, column):
+    """Slices of batches with a few megabytes of text each, whatever rows a batch holds."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES)))
+            yield batch.slice(start, end - start)
+            start = end
 
 
-def _chunks(batch, column):
-    """Slices of a batch with a few megabytes of text each, whatever rows a batch holds."""
-    sizes = np.cumsum([len(t) if t is not None else 0 for t in batch.column(column).to_pylist()])
-    start = 0
-    while start < batch.num_rows:
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES)))
-        yield batch.slice(start, end - start)
-        start = end
+def _slot(hashes):
+    return ((hashes >> np.uint64(8)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _slot(hashes):
-    return (hashes >> np.uint64(8)).astype(np.int64) % SLOTS
+def _sorted_words(sizes, hashes, ranks):
+    """(line, hash, rank) of the different words of each line, by line, rank and hash.
 
+    Sorting goes by one number that holds the line, the rank and most of the hash, and by the full
+    ones where that number is too short.
+    """
+    at = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    key = (at << np.uint64(48)) | (ranks.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
+    order = np.argsort(key)
+    key, by_key = key[order], hashes[order]
+    if len(sizes) > 1 << 16 or ((key[1:] == key[:-1]) & (by_key[1:] != by_key[:-1])).any():
+        order = np.lexsort((hashes, ranks, at))
+    at, hashes = at[order].astype(np.int64), hashes[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])
+    return at[fresh], hashes[fresh], ranks[order][fresh]
 
-def token_frequencies(source):
-    """Array of the number of lines by slot of their words. It grows with SLOTS only."""
+
+def token_ranks(source):
+    """Rank of the number of occurrences, by slot of the word: half steps of the binary logarithm.
+
+    Words that occur once have rank 0. The table grows with SLOTS only.
+    """
 
     def run(batches):
-        for batch in (part for whole in batches for part in _chunks(whole, 0)):
-            _, _, _, hashes = _line_sets(batch.column(0).to_pylist())
-            slots, counts = np.unique(_slot(hashes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts)], ["slot", "n"])
+        counts = np.zeros(SLOTS, np.int64)
+        for part in _chunks(batches, 0):
+            words = [w for text in part.column(0).to_pylist() for w in (text or b"").split()]
+            np.add.at(counts, _slot(word_hashes(words)), 1)
+        slots = np.flatnonzero(counts)
+        for start in range(0, len(slots), 1 << 16):
+            some = slots[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
 
     counted = source.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(
         F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")
     )
     found = counted.toArrow()
-    table = np.zeros(SLOTS, np.int32)
-    table[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return table
+    ranks = np.zeros(SLOTS, np.uint8)
+    ranks[found["slot"].to_numpy()] = np.floor(2 * np.log2(found["n"].to_numpy())).astype(np.uint8)
+    return ranks
 
 
 def _overlap(a, b, percent):
@@ -79,48 +89,54 @@ def _signed(values):
     return pa.array(values.view(np.int64))
 
 
-def lines_of(source, frequencies, percent=PERCENT):
+def lines_of(source, ranks, percent=PERCENT):
     """A row per line with a word: its place, its set's key, size, bitmap and prefix.
 
     Words are ordered from rare to frequent. The prefix is the first n - ceil(t * n) + 1 of them:
     sets that are similar have a word of their prefixes in common. Words that no other line has
-    are left out of it. Sets under four words have no other similar ones and no prefix.
+    are the first; they are left out of it, and `skipped` counts them. Sets under four words have
+    no other similar ones and no prefix. A bit of the bitmap is the parity of the words on it.
     """
     kind = source.schema["doc_id"].dataType.simpleString()
-    shared = source.sparkSession.sparkContext.broadcast(frequencies)
+    shared = source.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        counts = shared.value
-        for batch in (part for whole in batches for part in _chunks(whole, 2)):
-            rows, lines, at, hashes = _line_sets(batch.column(2).to_pylist())
-            if not len(rows):
+        for batch in _chunks(batches, 2):
+            rows, lines, sizes, words = [], [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                for n, line in enumerate((text or b"").split(b"\n")):
+                    found = line.split()
+                    if found:
+                        rows.append(row)
+                        lines.append(n)
+                        sizes.append(len(found))
+                        words += found
+            if not rows:
                 continue
-            often = counts[_slot(hashes)]
-            order = np.lexsort((hashes, often, at))
-            at, hashes, often = at[order], hashes[order], often[order]
+            hashes = word_hashes(words)
+            at, hashes, rank = _sorted_words(np.array(sizes), hashes, shared.value[_slot(hashes)])
             start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sizes = np.diff(np.append(start, len(at)))
             place = np.arange(len(at)) - start[at]
             # A set's key: sums of mixed hashes, the same in any order.
             keys = [np.add.reduceat(mix(hashes, np.full_like(hashes, salt)), start) for salt in (_SALT, ~_SALT)]
-            bit = (hashes >> np.uint64(57)).astype(np.uint64)
-            maps = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), start)
-                    for half in (0, 1)]
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), start)
             length = sizes - (sizes * percent + 99) // 100 + 1
-            used = (place < length[at]) & (often > 1) & (sizes[at] >= 4)
+            used = (place < length[at]) & (rank > 0) & (sizes[at] >= 4)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(used.astype(np.int32), start))])
-            tokens = ((hashes[used] >> np.uint64(32)).astype(np.int64) << 20) | place[used]
+            skipped = np.add.reduceat((rank == 0).astype(np.int32), start).astype(np.int32)
+            tokens = (hashes[used] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines), _signed(keys[0]), _signed(keys[1]),
-                 pa.array(sizes.astype(np.int32)), _signed(maps[0]), _signed(maps[1]),
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.int32()), _signed(keys[0]), _signed(keys[1]),
+                 pa.array(sizes.astype(np.int32)), _signed(bits), pa.array(skipped),
                  pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))],
-                ["doc_id", "text_hash", "line", "key1", "key2", "n", "map1", "map2", "prefix"],
+                ["doc_id", "text_hash", "line", "key1", "key2", "n", "bits", "skipped", "prefix"],
             )
 
     return source.mapInArrow(
         run,
-        f"doc_id {kind}, text_hash long, line int, key1 long, key2 long, n int, map1 long, map2 long, prefix array<long>",
+        f"doc_id {kind}, text_hash long, line int, key1 long, key2 long, n int, bits long, skipped int, prefix array<int>",
     )
 
 
@@ -129,78 +145,120 @@ def _place():
 
 
 def _similar_enough(x, y, percent):
-    """Length, positional and bitmap filters on two prefix rows; all are exact bounds."""
+    """Length, positional and bitmap filters on two prefix rows; all are exact bounds.
+
+    Of two similar sets the first common word passes the positional one: no earlier word is common.
+    """
     need = _overlap(x["n"], y["n"], percent)
-    rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    differ = F.bit_count(x["map1"].bitwiseXOR(y["map1"])) + F.bit_count(x["map2"].bitwiseXOR(y["map2"]))
     return (
         (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
-        & (F.least(x["pos"], y["pos"]) + rest >= need)
-        & (differ <= x["n"] + y["n"] - 2 * need)
+        & (x["n"] - x["pos"] >= need) & (y["n"] - y["pos"] >= need)
+        & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
     )
 
 
-def _prefix_rows(sets, percent):
-    """A row per word of each prefix, with the first line that has the word in its prefix.
+def _numbered(sets):
+    """The sets with `id`, which grows with the place of their first line."""
+    return sets.orderBy("place").withColumn("id", F.monotonically_increasing_id())
+
+
+def _prefix_rows(sets):
+    """A row per word of each prefix."""
+    rows = sets.select("id", "n", "bits", "skipped", F.posexplode("prefix").alias("at", "token"))
+    return rows.select("id", "n", "bits", "token", (F.col("skipped") + F.col("at")).alias("pos"))
+
+
+def _columns(side):
+    return {c: F.col(f"{side}.{c}") for c in ("n", "pos", "bits")}
+
 
-    A line that passes the filters against that first one is tried against it alone, so a great
-    group of near copies costs a row each. The window streams; it holds no group.
+def _pairs(x, y, percent):
+    """(later, earlier) sets of x and y with a prefix word in common that pass the filters."""
+    rule = (F.col("a.token") == F.col("b.token")) & (F.col("b.id") < F.col("a.id"))
+    rule &= _similar_enough(_columns("a"), _columns("b"), percent)
+    return x.alias("a").join(y.alias("b"), rule).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"))
+
+
+def _candidates(sets, percent):
+    """(later, earlier, likely) pairs of sets that may be similar.
+
+    Each prefix word has a head, the first set with it. A set that passes the filters against the
+    head is tried against it alone, so a great group of near copies costs a row each. The window
+    streams; it holds no group.
     """
-    rows = sets.select("place", "n", "map1", "map2", F.explode("prefix").alias("t"))
-    rows = rows.select(
-        "place", "n", "map1", "map2", F.shiftright("t", 20).alias("token"),
-        F.col("t").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("pos"),
-    )
-    order = Window.partitionBy("token").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.first(F.struct("place", "n", "map1", "map2", "pos")).over(order))
-    x = {c: F.col(c) for c in ("n", "pos", "map1", "map2")}
-    likely = (F.col("place") != F.col("head.place")) & _similar_enough(x, F.col("head"), percent)
-    return rows.withColumn("likely", likely).withColumn("head", F.col("head.place"))
-
-
-def _pairs(x, y, percent, head_only):
-    """(later, earlier) lines with a prefix word in common that pass the filters."""
-    a, b = x.alias("a"), y.alias("b")
-    of = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "pos", "map1", "map2")}
-    rule = (F.col("a.token") == F.col("b.token")) & (F.col("b.place") < F.col("a.place"))
-    rule &= _similar_enough(of("a"), of("b"), percent)
-    if head_only:
-        rule &= ~F.col("a.likely") | (F.col("b.place") == F.col("a.head"))
-    return a.join(b, rule).select(F.col("a.place").alias("later"), F.col("b.place").alias("earlier")).distinct()
-
-
-def _verified(source, pairs, percent):
-    """The pairs whose word sets have the Jaccard similarity, with the number of common words."""
-    wanted = pairs.select(F.col("later").alias("place")).union(pairs.select("earlier")).distinct()
-    per_text = wanted.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list("place.line").alias("lines"))
-    joined = source.join(
-        per_text,
-        source.doc_id.eqNullSafe(per_text.doc_id) & (source.text_hash == per_text.text_hash),
-    ).select(source.doc_id, source.text_hash, "text", "lines")
+    rows = _prefix_rows(sets)
+    order = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.withColumn("head", F.first(F.struct("id", "n", "pos", "bits")).over(order)).where(F.col("id") != F.col("head.id"))
+    likely = _similar_enough({c: F.col(c) for c in ("n", "pos", "bits")}, _columns("head"), percent)
+    near_head = led.where(likely).select(F.col("id").alias("later"), F.col("head.id").alias("earlier"), F.lit(1).alias("likely"))
+    others = _pairs(led.where(~likely).drop("head"), rows, percent).withColumn("likely", F.lit(0))
+    return near_head.union(others).groupBy("later", "earlier").agg(F.max("likely").alias("likely"))
+
+
+def _bit(doc_key, line):
+    """Bit of a line in the table of wanted lines, for columns and for arrays."""
+    return (doc_key + line * _STEP) % BITS
+
+
+def _doc_key(doc_id, text_hash):
+    return F.xxhash64(doc_id, text_hash).bitwiseAND(F.lit(BITS - 1))
+
+
+def _line_words(source, places):
+    """(place, words) of at least the lines at `places`: the hashes of their different words.
+
+    Texts are not shuffled. The lines are found by a table of BITS bits; where others fall on the
+    same bits, they come along and no pair asks for them.
+    """
+    bit = _bit(_doc_key("place.doc_id", "place.text_hash"), F.col("place.line").cast("long"))
+    wanted = places.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    found = wanted.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
+    table = np.zeros((BITS >> 15) * 4096, np.uint8).reshape(-1, 4096)
+    for bucket, bits in zip(found["bucket"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        table[bucket - 1] = np.frombuffer(bits, np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(table.reshape(-1))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            rows, lines, sets = [], [], []
-            for row, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                split = (text or b"").split(b"\n")
-                for n in wanted:
-                    rows.append(row)
-                    lines.append(n)
-                    sets.append(np.unique(word_hashes(split[n].split())).view(np.int64))
-            take = pa.array(rows, pa.int64())
+        table = shared.value
+        for batch in _chunks(batches, 3):
+            split = [(text or b"").split(b"\n") for text in batch.column(3).to_pylist()]
+            sizes = np.array([len(lines) for lines in split])
+            rows = np.repeat(np.arange(len(split)), sizes)
+            lines = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            bits = _bit(batch.column(2).to_numpy()[rows], lines)
+            hit = np.flatnonzero((table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1)
+            words = [split[row][line].split() for row, line in zip(rows[hit].tolist(), lines[hit].tolist(), strict=True)]
+            hit = hit[np.array([len(w) > 0 for w in words], bool)]
+            if not len(hit):
+                continue
+            hashes = word_hashes([w for line in words for w in line])
+            at, hashes, _ = _sorted_words(np.array([len(w) for w in words if w]), hashes, np.zeros(len(hashes), np.uint8))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(hit)))]).astype(np.int32)
+            take = pa.array(rows[hit])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines[hit].astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), _signed(hashes))],
                 ["doc_id", "text_hash", "line", "words"],
             )
 
-    sets = joined.mapInArrow(run, f"doc_id {kind}, text_hash long, line int, words array<long>")
-    sets = keep(sets.select(_place().alias("place"), "words"), "line-words")
-    both = pairs.join(sets.select(F.col("place").alias("later"), F.col("words").alias("a")), "later")
-    both = both.join(sets.select(F.col("place").alias("earlier"), F.col("words").alias("b")), "earlier")
+    keyed = source.select("doc_id", "text_hash", _doc_key("doc_id", "text_hash").alias("doc_key"), "text")
+    sets = keyed.mapInArrow(run, f"doc_id {kind}, text_hash long, line int, words array<long>")
+    # Rows repeated in full are one document.
+    return sets.groupBy(_place().alias("place")).agg(F.first("words").alias("words"))
+
+
+def _verified(source, sets, pairs, percent):
+    """The later sets of the pairs whose Jaccard similarity is high enough."""
+    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
+    places = keep(sets.select("id", "place").join(ids, "id"), "line-places")
+    words = places.join(_line_words(source, places), "place")
+    words = keep(words.select("id", "words"), "line-words")
+    both = pairs.join(words.select(F.col("id").alias("later"), F.col("words").alias("a")), "later")
+    both = both.join(words.select(F.col("id").alias("earlier"), F.col("words").alias("b")), "earlier")
     common = F.size(F.array_intersect("a", "b"))
-    counted = both.select("later", "earlier", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return counted.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent)
+    counted = both.select("later", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return counted.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("later").distinct()
 
 
 def removed_lines(docs, doc_id="doc_id", text="text", percent=PERCENT):
@@ -209,23 +267,22 @@ def removed_lines(docs, doc_id="doc_id", text="text", percent=PERCENT):
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
         F.col(text).cast("binary").alias("text"),
     )
-    lines = keep(lines_of(source, token_frequencies(source), percent), "lines")
-    payload = F.struct(_place().alias("place"), "n", "map1", "map2", "prefix")
-    sets = lines.groupBy("key1", "key2").agg(F.min(payload).alias("first")).select("key1", "key2", "first.*")
-    sets = keep(sets, "line-sets")
-    firsts = sets.select("key1", "key2", F.col("place").alias("first"))
+    lines = keep(lines_of(source, token_ranks(source), percent), "lines")
+    payload = F.struct(_place().alias("place"), "n", "bits", "skipped", "prefix")
+    sets = lines.groupBy("key1", "key2").agg(F.min(payload).alias("first"), F.count("*").alias("lines"))
+    sets = keep(_numbered(sets.select("key1", "key2", "lines", "first.*")), "line-sets")
+    firsts = sets.where("lines > 1").select("key1", "key2", F.col("place").alias("first"))
     copies = lines.join(firsts, ["key1", "key2"]).where(_place() != F.col("first")).select("doc_id", "text_hash", "line")
-    rows = _prefix_rows(sets, percent)
-    pairs = keep(_pairs(rows, rows, percent, head_only=True), "line-pairs")
-    matched = keep(_verified(source, pairs, percent).select("later").distinct(), "line-matches")
-    # Lines that were tried against first lines only, and in vain: against all earlier ones.
-    open_rows = rows.where("likely").join(matched, F.col("place") == F.col("later"), "left_anti")
-    again = keep(open_rows.select("place").distinct(), "line-open").withColumnRenamed("place", "open")
-    probes = keep(rows.join(again, F.col("place") == F.col("open"), "left_semi"), "line-probes")
-    near = rows.join(probes.select("token").distinct(), "token", "left_semi")
-    late = keep(_pairs(probes, near, percent, head_only=False), "line-late-pairs")
-    late = _verified(source, late, percent).select("later").distinct()
-    found = matched.union(late).distinct().select("later.*")
+    pairs = keep(_candidates(sets, percent), "line-pairs")
+    matched = keep(_verified(source, sets, pairs, percent), "line-matches")
+    # Sets that were tried against heads in vain: against all earlier ones.
+    failed = pairs.where("likely = 1").select(F.col("later").alias("id")).distinct()
+    failed = failed.join(matched, F.col("id") == F.col("later"), "left_anti")
+    probes = keep(_prefix_rows(sets.join(failed, "id", "left_semi")), "line-probes")
+    late = keep(_pairs(probes, _prefix_rows(sets), percent).distinct(), "line-late-pairs")
+    late = keep(_verified(source, sets, late, percent), "line-late-matches")
+    found = matched.union(late).distinct().withColumnRenamed("later", "id")
+    found = sets.select("id", "place").join(found, "id", "left_semi").select("place.*")
     return source, copies.unionByName(found).distinct()
 
 
