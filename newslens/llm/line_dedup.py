@@ -163,9 +163,14 @@ def _numbered(sets):
 
 
 def _prefix_rows(sets):
-    """A row per word of each prefix."""
+    """A row per word of each prefix.
+
+    No column is NULL, and the planner is told so: else each use of the rows gets filters of its
+    own, and their one exchange is not reused.
+    """
     rows = sets.select("id", "n", "bits", "skipped", F.posexplode("prefix").alias("at", "token"))
-    return rows.select("id", "n", "bits", "token", (F.col("skipped") + F.col("at")).alias("pos"))
+    rows = rows.withColumn("pos", F.col("skipped") + F.col("at"))
+    return rows.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("id", "n", "bits", "token", "pos")))
 
 
 def _columns(side):
@@ -188,10 +193,12 @@ def _candidates(sets, percent):
     """
     rows = _prefix_rows(sets)
     order = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    led = rows.withColumn("head", F.first(F.struct("id", "n", "pos", "bits")).over(order)).where(F.col("id") != F.col("head.id"))
-    likely = _similar_enough({c: F.col(c) for c in ("n", "pos", "bits")}, _columns("head"), percent)
-    near_head = led.where(likely).select(F.col("id").alias("later"), F.col("head.id").alias("earlier"), F.lit(1).alias("likely"))
-    others = _pairs(led.where(~likely).drop("head"), rows, percent).withColumn("likely", F.lit(0))
+    # Column by column: a struct would be built before the shuffle, and the rows shuffled twice as wide.
+    led = rows.select("*", *(F.first(c).over(order).alias(f"head_{c}") for c in ("id", "n", "pos", "bits")))
+    led = led.where(F.col("id") != F.col("head_id"))
+    likely = _similar_enough(*({c: F.col(f"{of}{c}") for c in ("n", "pos", "bits")} for of in ("", "head_")), percent)
+    near_head = led.where(likely).select(F.col("id").alias("later"), F.col("head_id").alias("earlier"), F.lit(1).alias("likely"))
+    others = _pairs(led.where(~likely).select(rows.columns), rows, percent).withColumn("likely", F.lit(0))
     return near_head.union(others).groupBy("later", "earlier").agg(F.max("likely").alias("likely"))
 
 
