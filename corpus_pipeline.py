@@ -5,7 +5,7 @@ from newslens.llm.mixing import mix_documents
 from newslens.llm.quality_rules import keep_good
 from newslens.llm.simhash import keep_one
 from newslens.llm.tables import keep, read_table
-from newslens.llm.training_order import training_order
+from newslens.llm.training_order import through_shards
 
 # Small sources are drawn at most twice as often as the largest, which is drawn once in full.
 MAX_REPEAT = 2.0
@@ -32,8 +32,8 @@ def source_mixing(spark, docs, sf_dir):
 
 
 def token_output(spark, docs, sf_dir):
-    """Token sequences with their global slots, in slot order."""
-    return training_order(docs)
+    """Token sequences with their global slots, written as shard files and read back in slot order."""
+    return through_shards(docs)
 
 
 STAGES = [

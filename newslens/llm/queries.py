@@ -24,8 +24,8 @@ def op1_quality_rules(spark, sf_dir):
 
 
 def op2_training_order(spark, sf_dir):
-    """Every token sequence of the documents with its slot, in slot order."""
-    return training_order.training_order(read_table(spark, sf_dir, "documents"))
+    """Every token sequence of the documents with its slot, written as shard files and read back in slot order."""
+    return training_order.through_shards(read_table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark, sf_dir):

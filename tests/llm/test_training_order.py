@@ -1,9 +1,13 @@
 """Training order: a true permutation, tokens that decode to the texts, resumable shards."""
 
+import os
 from collections import defaultdict
+from urllib.parse import urlparse
 
+import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newslens.llm import queries, training_order
 from newslens.session import scratch_path
@@ -58,3 +62,29 @@ def test_query(spark):
     assert decoded(rows) == {r.doc_id: r.text for r in docs}
     assert all(r.n_tokens == training_order.LENGTH for r in rows if any(
         o.doc_id == r.doc_id and o.piece == r.piece + 1 for o in rows[:2000]))
+
+
+def test_query_and_pipeline_read_shard_files(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for found in (queries.op2_training_order(spark, folder), corpus_pipeline.token_output(spark, docs, folder)):
+        files = found.inputFiles()
+        assert files and all("training-shards" in f and "/part-" in f for f in files)
+        size = sum(os.path.getsize(urlparse(f).path) for f in files)
+        assert size == found.count() * training_order.stride(origin=True)
+
+
+def test_shards_keep_the_origin(spark):
+    rows = [(1, "word " * 300), (None, "a"), (-5, None)]
+    frame = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA)
+    options = {"length": 16, "shard_sequences": 7}
+    want = training_order.training_order(frame, **options).collect()
+    assert training_order.through_shards(frame, **options).collect() == want
+
+
+def test_rows_that_change_between_the_passes_fail(spark, monkeypatch):
+    count = training_order._count
+    monkeypatch.setattr(training_order, "_count", lambda source, *a: count(source.withColumn("text", F.lit("other")), *a))
+    frame = spark.createDataFrame([(1, "text", "s", 1), (2, "more", "s", 1)], SCHEMA)
+    with pytest.raises(Exception, match="differ from those that were counted"):
+        training_order.training_order(frame).collect()
