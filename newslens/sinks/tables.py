@@ -49,8 +49,9 @@ def write_events(rows, root):
 
 
 def event_key(df):
-    """Identity of an event: its id, or a hash of the row where the id is missing."""
-    return F.coalesce(F.col("GLOBALEVENTID"), F.xxhash64(*(F.col(c) for c in df.columns)))
+    """Identity of an event: its id, or a hash of the row, descriptions aside, where the id is missing."""
+    own = [F.col(c) for c in df.columns if c != "EventDescription"]
+    return F.coalesce(F.col("GLOBALEVENTID"), F.xxhash64(*own))
 
 
 def _keyed(df, *columns):
@@ -59,11 +60,17 @@ def _keyed(df, *columns):
     return df.select(*columns, event_key(df).alias("_key"), whole.alias("_hash"))
 
 
+def _row_sets(keyed):
+    """(_key, n, sum): what tells the set of rows of an event, one per description, from another."""
+    # The sum of a great many hashes has no place in a long.
+    return keyed.groupBy("_key").agg(F.count("*").alias("n"), F.sum(F.col("_hash").cast("decimal(20,0)")).alias("sum"))
+
+
 def merge_events(spark, new_rows, root):
     """Add already staged rows to the events table; an id that comes again is replaced.
 
-    Rows that the table already has are left out, so a repeated feed rewrites nothing. Of the
-    others, the days they fall on and the days on which their ids are stored are rewritten as a
+    Events whose rows, all descriptions together, the table already has are left out, so a repeated
+    feed rewrites nothing. Of the others all rows are replaced; the days they fall on and the days on which their ids are stored are rewritten as a
     whole. The complete days are staged in a folder of this run before any is replaced; if the job
     dies in between, `recover` of the next run repeats the write. One writer at a time.
     """
@@ -79,8 +86,8 @@ def merge_events(spark, new_rows, root):
     keyed = spark.read.parquet(f"{run}/new")
     days = keyed.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
     near = existing.where(F.col("event_date").between(F.lit(days.first), F.lit(days.last)))
-    same = _keyed(near, "event_date")
-    changed = keyed.join(same, ["event_date", "_key", "_hash"], "left_anti")
+    differing = _row_sets(keyed).join(_row_sets(_keyed(near)), ["_key", "n", "sum"], "left_anti")
+    changed = keyed.join(differing.select("_key"), "_key", "left_semi")
     changed.select("_key", *new_rows.columns).write.parquet(f"{run}/changed")
     changed = spark.read.parquet(f"{run}/changed")
     if changed.isEmpty():

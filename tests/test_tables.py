@@ -249,3 +249,15 @@ def test_stream_of_archives(spark, tmp_path, codes):
 def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("event", [1, None])
+@pytest.mark.parametrize("later", [["a", "b", "c"], ["a", "reworded"], ["a"], ["a", "a", "b"]])
+def test_descriptions_of_an_event_are_replaced_together(spark, tmp_path, event, later):
+    root = str(tmp_path / "db")
+    rows = lambda texts: [dict(GLOBALEVENTID=event, EventDescription=t) for t in texts]
+    other = dict(GLOBALEVENTID=2, EventDescription="a")
+    write_events(events(spark, [*rows(["a", "b"]), other]), root)
+    merge_events(spark, events(spark, rows(later)), root)
+    stored = [(r.GLOBALEVENTID, r.EventDescription) for r in read_events(spark, root).collect()]
+    assert sorted(stored, key=str) == sorted([*((event, t) for t in later), (2, "a")], key=str)
