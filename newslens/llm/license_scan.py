@@ -1,7 +1,9 @@
 """Licence notices by a trained paragraph classifier, confirmed by comparison with templates."""
 
 import math
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
@@ -103,7 +105,10 @@ def _tokens(text):
 
 
 def windows(docs, doc_id="doc_id", text="text"):
-    """(doc_id, row, paragraph, part, words): paragraphs are lines; long ones come in windows."""
+    """(row, paragraph, part, more, words): paragraphs are lines; long ones come in windows.
+
+    `more` tells that the paragraph has words after the window.
+    """
     named = docs.select(
         F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")).alias("row"),
         F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("paragraph", "line"),
@@ -114,7 +119,7 @@ def windows(docs, doc_id="doc_id", text="text"):
     )
     parts = words.where(F.size("all") > 0).select("row", "paragraph", "all", F.posexplode(starts).alias("part", "start"))
     return parts.select(
-        "row", "paragraph", "part", F.slice("all", F.col("start") + 1, WINDOW_WORDS).alias("words")
+        "row", "paragraph", "part", (F.size("all") > F.col("start") + WINDOW_WORDS).alias("more"), F.slice("all", F.col("start") + 1, WINDOW_WORDS).alias("words")
     )
 
 
@@ -205,31 +210,76 @@ def best_template(words, family):
     return let(_pairs(words), of)
 
 
+def _word_pairs(tokens):
+    return list(map(" ".join, zip(tokens, tokens[1:], strict=False))) or list(tokens)
+
+
+def notices(words, part, more, chances):
+    """(family, similarity, template) of the notices in a window; `chances` has a probability by family.
+
+    The likeliest family's best template comes first, then whatever template has the largest share of
+    the pairs that are left: each takes its pairs, once, so that a notice is not counted for a similar
+    family too. What the window's edge cuts is left to the neighbour that holds all of it.
+    """
+    templates = [(f, f"{f}/{n}", set(_word_pairs(template_tokens(t)))) for f, texts in TEMPLATES.items() for n, t in enumerate(texts)]
+    here = _word_pairs(words)
+    left, most = Counter(here), max(len(set(here)), LEAST_PAIRS)
+    top, found = max(chances, key=chances.get), {}
+    while True:
+        scored = [(sum(p in left for p in pairs) / min(most, len(pairs)), chances[f], label, f, pairs) for f, label, pairs in templates]
+        good = [x for x in scored if x[0] >= LEAST_SIMILARITY]
+        if not good:
+            return [(f, *x) for f, x in found.items()]
+        similarity, _, label, family, pairs = max([x for x in good if not found and x[3] == top] or good, key=lambda x: x[:3])
+        at = [n for n, p in enumerate(here) if p in pairs and left[p]]
+        left -= Counter(pairs & set(left))
+        cut = more and at[-1] == len(here) - 1 and at[0] >= WINDOW_STEP
+        cut |= part > 0 and at[0] == 0 and at[-1] + 1 < WINDOW_WORDS - WINDOW_STEP
+        if not cut and similarity > found.get(family, (0,))[0]:
+            found[family] = (similarity, label)
+
+
 def scan(docs, doc_id="doc_id", text="text", model=None):
     """(doc_id, paragraph, family, probability, similarity, template) of each licence notice.
 
-    A paragraph is a line; `paragraph` is its number. The family is the class of the highest
-    calibrated probability over the paragraph's windows; it is reported if that is not `unknown`,
-    reaches 0.5, and the paragraph has 60 % of its word pairs, or of the template's if those are
-    fewer, in common with one of the family's templates.
+    A paragraph is a line; `paragraph` is its number. Windows that are more likely a licence of some
+    family than none are compared with the templates of all families. A family is reported, once a
+    paragraph, if a window has 60 % of its word pairs, or of the template's if those are fewer, in
+    common with one of the family's templates, other notices' pairs left out. `probability` is the
+    calibrated one of the family in the window; that of two notices in one window is divided.
     NULL, empty and blank texts have no paragraphs. Rows that share an id are scanned each for
     itself, rows repeated in full give equal results once each. An empty table gives no rows.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fitted, temperature = model or train(named)
     scores = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x / temperature))
-    top = let(scores, lambda s: F.struct(
-        (F.array_max(s) / F.aggregate(s, F.lit(0.0), lambda a, x: a + x)).alias("probability"),
-        F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(s, F.array_max(s)).cast("int")).alias("family"),
-    ))
-    scored = fitted.transform(windows(named)).select("row", "paragraph", "words", top.alias("top"))
-    likely = scored.where((F.col("top.family") != UNKNOWN) & (F.col("top.probability") >= LEAST_PROBABILITY))
-    compared = likely.select(
-        "row.doc_id", "row.text_hash", "paragraph", "top.family", "top.probability",
-        best_template(F.col("words"), F.col("top.family")).alias("best"),
-    ).where(F.col("best.similarity") >= LEAST_SIMILARITY)
-    found = F.struct("probability", "best.similarity", "family", "best.template")
-    return compared.groupBy("doc_id", "text_hash", "paragraph").agg(F.max(found).alias("m")).select(
-        "doc_id", "paragraph", "m.family", F.round("m.probability", 4).alias("probability"),
+    chances = let(scores, lambda s: F.transform(s, lambda x: x / F.aggregate(s, F.lit(0.0), lambda a, y: a + y)))
+    scored = fitted.transform(windows(named)).select("row", "paragraph", "part", "more", "words", chances.alias("chances"))
+    likely = scored.where(F.col("chances")[FAMILIES.index(UNKNOWN)] <= 1 - LEAST_PROBABILITY)
+    likely = likely.select("row.doc_id", "row.text_hash", "paragraph", "part", "more", "words", "chances")
+    kind = likely.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for n, (part, more, words, each) in enumerate(zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)):
+                by_family = {f: c for f, c in zip(FAMILIES, each, strict=True) if f != UNKNOWN}
+                for family, similarity, template in notices(words, part, more, by_family):
+                    rows.append(n)
+                    out.append((family, by_family[family], similarity, template))
+            take = pa.array(rows, pa.int64())
+            columns = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n).take(take) for n in range(3)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["doc_id", "text_hash", "paragraph", "family", "probability", "similarity", "template"],
+            )
+
+    found = likely.mapInArrow(
+        run, f"doc_id {kind}, text_hash long, paragraph int, family string, probability double, similarity double, template string"
+    )
+    best = F.max(F.struct("probability", "similarity", "template")).alias("m")
+    return found.groupBy("doc_id", "text_hash", "paragraph", "family").agg(best).select(
+        "doc_id", "paragraph", "family", F.round("m.probability", 4).alias("probability"),
         F.round("m.similarity", 4).alias("similarity"), "m.template",
     )

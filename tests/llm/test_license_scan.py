@@ -53,3 +53,16 @@ def test_query_finds_planted_notices(spark):
     }
     got = {(r.doc_id, r.paragraph, r.family) for r in queries.op9_license_scan(spark, FOLDER).collect()}
     assert want and got == want
+
+
+def test_several_families_in_one_line(spark, model):
+    filler = lambda c: " ".join(f"{c}{i}" for i in range(400))
+    mit = "Released under the MIT License."
+    apache, by_sa = "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-SA 4.0."
+    rows = [(1, f"{filler('a')} {mit} {filler('b')} {apache} {filler('c')}"), (2, f"{mit} {apache}"), (3, f"{by_sa} {by_sa}"), (4, mit)]
+    rows += [(10 + n, f"{' '.join(f'w{i}' for i in range(n))} {by_sa} {filler('d')}") for n in range(20, 62, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.family) for r in license_scan.scan(frame, model=model).collect()}
+    want = {(1, "mit"), (1, "apache"), (2, "mit"), (2, "apache"), (3, "cc-by-sa"), (4, "mit")}
+    assert {x for x in got if x[0] < 10} == want
+    assert {f for i, f in got if i >= 10} == {"cc-by-sa"}
