@@ -3,7 +3,7 @@
 import random
 import re
 
-from helpers import query_rows, sql_rows
+from corpus_helpers import query_rows, sql_rows
 
 from newslens.llm import decontamination
 

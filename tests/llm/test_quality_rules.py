@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from helpers import query_rows, sql_rows
+from corpus_helpers import query_rows, sql_rows
 
 from newslens.llm import quality_rules
 

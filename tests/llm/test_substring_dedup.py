@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from helpers import query_rows, sql_rows
+from corpus_helpers import query_rows, sql_rows
 
 from newslens.llm import substring_dedup
 

@@ -4,7 +4,7 @@ import io
 import zipfile
 
 import pytest
-from helpers import query_rows, sql_rows
+from corpus_helpers import query_rows, sql_rows
 
 from newslens.llm import web_archives
 from newslens.session import scratch_path
