@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newslens.llm import (
+    conversation_trie,
     decontamination,
     license_scan,
     line_dedup,
@@ -84,6 +85,11 @@ def op10_simhash_near_dup(spark, sf_dir):
     )
 
 
+def op13_conversation_trie(spark, sf_dir):
+    """A row per distinct beginning of the conversations, rebuilt on the first of their family."""
+    return conversation_trie.branched_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_training_order": op2_training_order,
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 # Words of a text, as every contract takes them. \\x0B and \\x0C are \\v and \\f.
@@ -205,9 +212,57 @@ SELECT doc_id, items.item_id, n AS n_shingles, count(*) AS n_found
 FROM docs JOIN items USING (shingle) JOIN sizes ON items.item_id = sizes.item_id
 GROUP BY doc_id, items.item_id, n HAVING count(*) * 100 >= n * 80"""
 
+# CRC-32 of a decimal id, bit by bit over its digits; 3988292384 is the reversed polynomial.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({id} AS VARCHAR), ''),
+    lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+_OP13 = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, CAST({_CRC32.format(id="c")} AS BIGINT) % {conversation_trie.BRANCH} AS h
+  FROM (SELECT DISTINCT c FROM t) x),
+heads AS (
+  SELECT ids.c, t.pos AS d, role, text FROM ids
+  JOIN t ON t.c = ids.c - ids.c % {conversation_trie.FAMILY} AND t.pos <= ids.h),
+begun AS (
+  SELECT ids.c, any_value(h) AS h, count(d) AS n FROM ids LEFT JOIN heads ON heads.c = ids.c GROUP BY ids.c),
+rebuilt AS (
+  SELECT c, d, role, text FROM heads
+  UNION ALL SELECT t.c, n + pos - h, role, text FROM t JOIN begun ON begun.c = t.c WHERE pos > h),
+beginnings AS (
+  SELECT c, d, octet_length(encode(text)) AS n_bytes,
+    md5(string_agg(md5(concat(length(role), ':', role, text)), '') OVER (
+      PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+steps AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS above FROM beginnings),
+nodes AS (
+  SELECT k, d, min(c) AS c, count(*) AS n, any_value(n_bytes) AS n_bytes, any_value(above) AS above
+  FROM steps GROUP BY k, d),
+families AS (SELECT above AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY ALL),
+grown AS (
+  SELECT nodes.*, coalesce(families.n, 0) AS n_children FROM nodes
+  LEFT JOIN families ON families.k = nodes.k AND families.d = nodes.d),
+subtrees AS (
+  SELECT b.k, b.d, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves,
+    CAST(sum((n - 1) * g.n_bytes) AS BIGINT) AS saved FROM grown g
+  JOIN beginnings b ON b.c = g.c AND b.d <= g.d GROUP BY b.k, b.d),
+lasts AS (SELECT c, max(d) AS d, arg_max(k, d) AS k FROM beginnings GROUP BY c),
+ends AS (SELECT k, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM lasts GROUP BY k, d)
+SELECT g.c AS conv_id, g.d AS depth, p.c AS parent_conv_id, g.n AS n_convs, g.n_children, n_leaves,
+  saved AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM grown g JOIN subtrees s ON s.k = g.k AND s.d = g.d
+LEFT JOIN ends ON ends.k = g.k AND ends.d = g.d
+LEFT JOIN nodes p ON p.k = g.above AND p.d = g.d - 1"""
+
 ORACLE_SQL = {
     "op1_quality_rules": _OP1,
     "op4_warc_packages": _OP4,
     "op5_substring_dedup": _OP5,
     "op7_benchmark_decontamination": _OP7,
+    "op13_conversation_trie": _OP13,
 }
