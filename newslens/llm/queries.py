@@ -8,11 +8,13 @@ from newslens.llm import (
     license_scan,
     line_dedup,
     mixing,
+    periodic_runs,
     pii,
     quality_rules,
     simhash,
     substring_dedup,
     training_order,
+    voronoi_topk,
     web_archives,
 )
 from newslens.llm.tables import read_table
@@ -85,6 +87,36 @@ def op10_simhash_near_dup(spark, sf_dir):
     )
 
 
+def op11_periodic_runs(spark, sf_dir):
+    """Every document, some with a planted periodic ending, with its runs and the text without them."""
+    docs = periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs)
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(
+            r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")
+        ))
+    )
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")
+    ))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_voronoi_topk(spark, sf_dir):
+    """The five nearest rows, by inner product, of each vector whose id is divisible by 50."""
+    vectors = voronoi_topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    return voronoi_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op13_conversation_trie(spark, sf_dir):
     """A row per distinct beginning of the conversations, rebuilt on the first of their family."""
     return conversation_trie.branched_trie(read_table(spark, sf_dir, "conversations"))
@@ -101,6 +133,8 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_voronoi_topk": op12_voronoi_topk,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -212,12 +246,54 @@ SELECT doc_id, items.item_id, n AS n_shingles, count(*) AS n_found
 FROM docs JOIN items USING (shingle) JOIN sizes ON items.item_id = sizes.item_id
 GROUP BY doc_id, items.item_id, n HAVING count(*) * 100 >= n * 80"""
 
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
 # CRC-32 of a decimal id, bit by bit over its digits; 3988292384 is the reversed polynomial.
 _CRC32 = """xor(4294967295, list_reduce(
   list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({id} AS VARCHAR), ''),
     lambda x: CAST(ascii(x) AS BIGINT))),
   lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
     lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+# A run holds five words in a row that come again one period later; islands of such places are runs.
+_OP11 = f"""
+WITH src AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, CAST({_CRC32.format(id="doc_id")} AS BIGINT) AS h
+  FROM documents),
+plan AS (
+  SELECT *, (h // 10) % len(w) AS a FROM src),
+d AS (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+    THEN list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i < a THEN i
+      ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM plan),
+starts AS (SELECT r, len(w) AS n, w, unnest(range(0, len(w) - 4)) AS i FROM d),
+fives AS (SELECT r, n, i, hash(w[i + 1 : i + 5]) AS k FROM starts),
+again AS (
+  SELECT x.r, y.i - x.i AS p, x.i FROM fives x JOIN fives y
+  ON x.r = y.r AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM again),
+stretches AS (
+  SELECT r, p, min(i) AS s, max(i) + 5 - min(i) + p AS length FROM islands GROUP BY r, p, island),
+runs AS (
+  SELECT r, s, length, min(p) AS p FROM stretches WHERE length >= greatest(6, 4 * p) GROUP BY r, s, length),
+listed AS (
+  SELECT r, count(*) AS n_runs, sha256(string_agg(concat(s, ',', length, ',', p, chr(10)), '' ORDER BY s, p)) AS runs_sha256,
+    max(struct_pack(length := length, s := -s, p := -p)) AS best FROM runs GROUP BY r),
+gone AS (
+  SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(s + p, s + length)) AS i FROM runs) x GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.length AS length, -best.p AS period,
+  1000 * best.length // -best.p AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+    list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN listed ON listed.r = d.r LEFT JOIN gone ON gone.r = d.r"""
 _OP13 = f"""
 WITH t AS (
   SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -264,5 +340,7 @@ ORACLE_SQL = {
     "op4_warc_packages": _OP4,
     "op5_substring_dedup": _OP5,
     "op7_benchmark_decontamination": _OP7,
+    "op11_periodic_runs": _OP11,
+    "op12_voronoi_topk": _OP12,
     "op13_conversation_trie": _OP13,
 }

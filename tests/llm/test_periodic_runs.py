@@ -1,0 +1,121 @@
+"""Periodic runs against brute force and SQL."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from corpus_helpers import query_rows, sql_rows
+
+from newslens.llm import periodic_runs
+
+DDL = "doc_id long, text string, period int, start string"
+
+
+def brute_runs(words):
+    n, found = len(words), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            if words[i] != words[i + p]:
+                i += 1
+                continue
+            start = i
+            while i + p < n and words[i] == words[i + p]:
+                i += 1
+            length = i - start + p
+            if length >= max(6, 4 * p):
+                found.setdefault((start, length), p)
+    return sorted((start, p, length) for (start, length), p in found.items())
+
+
+def brute_force(text):
+    words = (text or "").encode().split()
+    runs = brute_runs(words)
+    gone = {i for start, p, length in runs for i in range(start + p, start + length)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
+    return len(words), runs, kept
+
+
+def check(spark, rows):
+    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], DDL)
+    got = [
+        (r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed_text)
+        for r in periodic_runs.periodic_runs(frame).collect()
+    ]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted([(i, *brute_force(t)) for i, t in rows], key=key)
+
+
+def periodic(rng, period, times, letters="abcdefghij"):
+    base = [rng.choice(letters) + rng.choice(letters) for _ in range(period)]
+    return (base * (int(times) + 1))[: int(period * times)]
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_random_texts(spark, monkeypatch, tile):
+    monkeypatch.setattr(periodic_runs, "TILE", tile)
+    rng = random.Random(tile)
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randrange(5)):
+            words += periodic(rng, rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 16, 33, 70]), rng.uniform(2, 9), rng.choice(["ab", "abcdefghij"]))
+            words += [f"w{rng.randrange(40)}" for _ in range(rng.randrange(20))]
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(60)]
+    check(spark, rows)
+
+
+def test_fragments_of_every_tile_add_up():
+    """The in-task parts alone, over many short texts of two words and over long periods."""
+    rng = random.Random(9)
+    for _ in range(300):
+        words = [rng.randrange(2) for _ in range(rng.randrange(6, 80))]
+        if rng.random() < 0.5:
+            words = words[: rng.randrange(1, 12)] * 9
+        ids = np.array(words, np.uint64)
+        equal = set()
+        for octave, first, at, tile in periodic_runs.tiles(ids):
+            for p, spans in periodic_runs.fragments(octave, at.tolist(), tile.tolist()).items():
+                equal |= {(p, first + i) for s, e in spans for i in range(s, e)}
+        assert all(words[i] == words[i + p] for p, i in equal)
+        for start, p, length in brute_runs(words):
+            assert {(p, i) for i in range(start, start + length - p)} <= equal
+
+
+def test_edge_cases(spark):
+    rng = random.Random(2)
+    long = [f"w{i}" for i in range(3000)] + periodic(rng, 700, 4.5) + ["x"] * 5000 + periodic(rng, 40, 200)
+    rows = [
+        (1, None), (2, ""), (3, " \t\n"), (4, "a a a a a"), (5, "a a a a a a"), (6, "a b a b a b a b"),
+        (7, "a b a b a b a"), (8, "é é é é é é\x0bend"), (None, "n n n n n n"), (None, None),
+        (9, "same row " * 20), (9, "same row " * 20), (9, "other text " * 5), (10, " ".join(long)),
+        (11, " a " * 7),
+    ]
+    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], DDL)
+    check(spark, [r for r in rows if r[0] != 10])
+    # Brute force takes too long for the long one's every period.
+    (row,) = periodic_runs.periodic_runs(frame.where("doc_id = 10")).collect()
+    assert [tuple(r) for r in row.runs] == [(3000, 700, 3150), (6150, 1, 5000), (11150, 40, 8000)]
+    assert len(row.collapsed_text.split()) == 3000 + 700 + 1 + 40
+    check(spark, [])
+
+
+def test_planted_runs(spark):
+    texts = [None, "", "one", " ".join(f"w{i}" for i in range(50))]
+    rows = [(i, texts[i % 4]) for i in range(200)] + [(None, "a b")]
+    got = periodic_runs.with_planted_runs(spark.createDataFrame([(*r, 0, "x") for r in rows], DDL)).collect()
+    for (i, text), row in zip(rows, got, strict=True):
+        h = zlib.crc32(str(i).encode())
+        words = (text or "").split()
+        if i is not None and h % 10 == 0 and words:
+            g = h // 10
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            text = " ".join(words[j if j < a else a + (j - a) % p] for j in range(len(words)))
+        assert (row.doc_id, row.text) == (i, text)
+
+
+def test_against_sql(spark):
+    assert query_rows(spark, "op11_periodic_runs") == sql_rows("op11_periodic_runs")
