@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta, timezone
 
 import pytest
 
-from newslens.functions.topk import exact_cutoff, id_cutoff, measure_cutoff, top_by_measure
+from newslens.functions.topk import order_value, top_by_measure, top_cutoff
 from newslens.operators.search import (
     SEARCH_COLUMNS,
     SearchSpec,
@@ -16,6 +16,8 @@ from newslens.operators.search import (
     top_events,
 )
 from newslens.sinks.export import export_csv, read_export
+from newslens.sinks.tables import write_events
+from newslens.sources.tables import read_events
 from pyspark.sql import functions as F
 
 from helpers import day, events
@@ -134,20 +136,59 @@ def test_top_events_equal_a_full_sort(spark, shape, k):
 
 def test_cutoff_keeps_the_top_and_drops_most_rows(spark):
     df = spark.range(100_000).withColumn("m", F.col("id").cast("int"))
-    cutoff = measure_cutoff(df, "m", 100).first().cutoff
-    assert 98_000 < cutoff <= 99_900
+    cut = top_cutoff(df, "m", 100, "id").first().cut
+    assert 99_000 < cut.cutoff <= 99_901 and cut.low <= 99_900 and cut.n == 100_000
     top = top_by_measure(df, "m", 100, "id")
     assert [r.id for r in top.collect()] == list(range(99_999, 99_899, -1))
     assert top_by_measure(df.where("m < 0"), "m", 5, "id").count() == 0
 
 
-def test_few_tied_and_null_rows_pass_before_the_sort(spark):
-    df = spark.range(20_000).withColumn("m", F.expr("IF(id % 4 = 0, NULL, 7)"))
-    cut = exact_cutoff(df, "m", 50).first()
-    assert (cut.cutoff, cut.needed, cut.enough) == (7, 50, True)
-    limit = id_cutoff(df, "m", "id", exact_cutoff(df, "m", 50)).first().id_cutoff
-    assert limit < 150
+def test_few_tied_rows_pass_before_the_sort(spark):
+    df = spark.range(100_000).withColumn("m", F.expr("IF(id % 4 = 0, NULL, 7)"))
+    cut = top_cutoff(df, "m", 50, "id").first().cut
+    assert cut.low == 7
+    passing = df.where(order_value("m", "id") >= cut.cutoff)
+    assert 50 <= passing.count() < 2_000
     assert [r.id for r in top_by_measure(df, "m", 4, "id").collect()] == [1, 2, 3, 5]
+    rest = [r.id for r in top_by_measure(df, "m", 75_002, "id").collect()][-2:]
+    assert rest == [0, 4]
+
+
+def test_order_value_follows_the_order(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, -3, 0, 5, 2**31 - 1]), rng.choice([None, -7, 0, 1, 2, 10**9, 10**9 + 1, 2**62]))
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "m int, id long").orderBy(F.desc("m"), "id")
+    values = [r[0] for r in df.select(order_value("m", "id")).collect()]
+    assert values == sorted(values, reverse=True)
+
+
+def test_top_events_scan_twice_and_search_once(spark, tmp_path):
+    write_events(events(spark, [dict(num_articles=i % 9) for i in range(50)]), str(tmp_path))
+    stored = read_events(spark, str(tmp_path))
+    top = plan_that_ran(top_events(stored, 10))
+    # Mentions of one subquery are one execution.
+    assert top.count("kll_sketch_agg_double") and "num_articles" in top
+    assert scans_that_ran(spark, top_events(stored, 10)) == 2
+    assert scans_that_ran(spark, search_events(stored, SearchSpec(limit=10))) == 1
+
+
+def plan_that_ran(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans_that_ran(spark, df):
+    """Stages that read files, over all jobs of the query."""
+    group = f"scans-{id(df)}"
+    spark.sparkContext.setJobGroup(group, "scans")
+    df.collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext._jsc.clearJobGroup()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    read = [store.lastStageAttempt(s).inputRecords() for s in stages]
+    return sum(n > 0 for n in read)
 
 
 def test_map_points_and_dates(spark):
