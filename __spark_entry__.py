@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -52,6 +51,7 @@ from newslens.operators.stories import (  # noqa: E402
     story_urls,
 )
 from newslens.plans.analysis import run_analysis, run_story_analysis  # noqa: E402
+from newslens.plans.dashboard import country_insights, search_stored  # noqa: E402
 from newslens.plans.ingest import ingest, ingest_window  # noqa: E402
 from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG, fields  # noqa: E402
 from newslens.session import scratch_path, use_utc  # noqa: E402
@@ -66,15 +66,16 @@ from newslens.sources.tables import read_events, read_table, summary_head  # noq
 
 
 def _corpus_queries():
-    """Queries and SQL of the corpus operators; none where that subpackage has been taken out."""
-    if not importlib.util.find_spec("newslens.llm") or not importlib.util.find_spec(
-        "newslens.llm.queries"
-    ):
+    """Queries and SQL of the corpus operators; none where that subpackage cannot be imported."""
+    try:
+        module = importlib.import_module("newslens.llm.queries")
+    except ImportError:
         return {}, {}
-    module = importlib.import_module("newslens.llm.queries")
     registered = dict(module.QUERIES)
-    if importlib.util.find_spec("corpus_pipeline"):
+    try:
         registered["pipeline"] = importlib.import_module("corpus_pipeline").run
+    except ImportError:
+        pass
     return registered, dict(module.ORACLE_SQL)
 
 
@@ -326,8 +327,8 @@ def events_table_rerun(spark, sf_dir):
     return _stored(spark, root)
 
 
-def events_table_update(spark, sf_dir):
-    """The events table after a second feed that repeats, changes and moves events to another day."""
+def _updated_tables(spark, sf_dir, after_each=lambda root: None):
+    """Tables after two feeds, of which the second repeats, changes and moves events to another day."""
     raw = adapter.raw_events(_g(spark, sf_dir))
     moved = raw.where("GLOBALEVENTID % 5 < 2").withColumns({
         "SQLDATE": F.expr("IF(GLOBALEVENTID % 5 = 0, 20240229, SQLDATE)"),
@@ -337,7 +338,13 @@ def events_table_update(spark, sf_dir):
     root, codes = scratch_path(spark, "tables"), _landed_codes(spark)
     for name, rows in (("first", raw.where("GLOBALEVENTID % 7 > 0")), ("second", moved)):
         ingest(spark, _landed_text(spark, adapter.tsv_lines(rows), name), codes, root)
-    return _stored(spark, root)
+        after_each(root)
+    return root
+
+
+def events_table_update(spark, sf_dir):
+    """The events table after a second feed that repeats, changes and moves events to another day."""
+    return _stored(spark, _updated_tables(spark, sf_dir))
 
 
 def ingest_zipped_window(spark, sf_dir):
@@ -362,7 +369,17 @@ def search_actors(spark, sf_dir):
     """Search of both actors with a mention range, over the stored table."""
     root = scratch_path(spark, "tables")
     write_events(_enriched(spark, sf_dir), root)
-    return _measures_as_double(search(read_events(spark, root), ACTOR_SPEC))
+    return _measures_as_double(search_stored(spark, root, ACTOR_SPEC))
+
+
+def search_page(spark, sf_dir):
+    """A stored search with its totals and its table as displayed: each shown row with the totals."""
+    root = scratch_path(spark, "tables")
+    write_events(_enriched(spark, sf_dir), root)
+    page = country_insights(spark, root, SPEC)
+    kpis = page["kpis"].withColumnRenamed("avg_tone", "mean_tone")
+    # One row of totals.
+    return _measures_as_double(page["display"]).join(kpis)
 
 
 def search_literal(spark, sf_dir):
@@ -378,28 +395,42 @@ def stored_impact(spark, sf_dir):
     return ranked.select(*STORY_KEYS, "avg_goldstein_scale", "total_articles", "impact_score")
 
 
-def analysis_job(spark, sf_dir):
-    """Row count and a control total of each summary that the analysis stores."""
-    root = scratch_path(spark, "analysis")
-    write_events(_enriched(spark, sf_dir), root)
-    run_analysis(spark, root, BASELINE_DAYS * 24, TOP_EVENTS, MIN_BASELINE)
-    totals = {
-        "top_events": F.sum("GLOBALEVENTID"),
-        "events_per_country": F.sum("Total_Events"),
-        "tone_by_country": F.count("Average_Tone"),
-        "country_event_spike": F.sum(F.col("spike_events") + F.col("baseline_events")),
+def _stored_summaries(spark, root):
+    """Every row of the tables that the analysis stores, as (table_name, name, day, n, value)."""
+    text, whole, value = (lambda c, kind=kind: F.expr(f"CAST({c} AS {kind})") for kind in ("STRING", "BIGINT", "DOUBLE"))
+    shapes = {
+        "top_events": ("GLOBALEVENTID", "event_date", "num_articles", "lat + 1000 * lon"),
+        "events_per_country": ("Country_Name", "NULL", "Total_Events", "NULL"),
+        "tone_by_country": ("Country_Name", "NULL", "NULL", "Average_Tone"),
+        "country_event_spike": ("ActionGeo_CountryCode", "NULL", "spike_events + baseline_events", "spike_score"),
+        "events_by_time_and_country": ("ActionGeo_CountryCode", "event_date", "total_events", "NULL"),
     }
     rows = [
-        read_table(spark, root, name).agg(
-            F.lit(name).alias("table_name"),
-            F.count("*").alias("n_rows"),
-            F.coalesce(total, F.lit(0)).alias("total"),
+        read_table(spark, root, table).select(
+            F.lit(table).alias("table_name"), text(name).alias("name"),
+            F.date_format(F.expr(f"CAST({day} AS DATE)"), "yyyy-MM-dd").alias("day"), whole(n).alias("n"), value(x).alias("value"),
         )
-        for name, total in totals.items()
+        for table, (name, day, n, x) in shapes.items()
     ]
     return reduce(DataFrame.unionByName, rows)
 
 
+def analysis_job(spark, sf_dir):
+    """Every row of the summaries that the analysis stores."""
+    root = scratch_path(spark, "analysis")
+    write_events(_enriched(spark, sf_dir), root)
+    run_analysis(spark, root, BASELINE_DAYS * 24, TOP_EVENTS, MIN_BASELINE)
+    return _stored_summaries(spark, root)
+
+
+def analysis_incremental(spark, sf_dir):
+    """The summaries after a second feed that adds, changes and moves events, and a second analysis."""
+    root = _updated_tables(
+        spark, sf_dir, lambda root: run_analysis(spark, root, BASELINE_DAYS * 24, TOP_EVENTS, MIN_BASELINE)
+    )
+    return _stored_summaries(spark, root)
+
+
 QUERIES = [
     country_event_spike, spike_all_countries, spike_report, spike_top20, spike_kpis,
     flagged_spikes, day_ranks, events_by_day_country, events_per_country, country_totals_top15,
@@ -408,7 +439,7 @@ QUERIES = [
     impact_ranking, clean_events, enrich_events, scan_events_tsv, scan_zipped_events,
     scan_gkg_tsv, load_event_codes, select_feed_files, events_table_rerun,
     analysis_job, events_table_update, ingest_zipped_window, top_events_default, search_actors,
-    search_literal, stored_impact,
+    search_literal, stored_impact, analysis_incremental, search_page,
 ]
 
 
@@ -614,6 +645,16 @@ def _raw_sql(name, kind):
     return f"CAST({_RAW.get(name, name)} AS {kind})"
 
 
+# Every row of the stored summaries.
+_SUMMARIES = """
+SELECT 'top_events' AS table_name, CAST(GLOBALEVENTID AS VARCHAR) AS name, strftime(event_date, '%Y-%m-%d') AS day,
+  CAST(num_articles AS BIGINT) AS n, CAST(lat + 1000 * lon AS DOUBLE) AS value FROM top
+UNION ALL SELECT 'events_per_country', Country_Name, NULL, Total_Events, NULL FROM totals
+UNION ALL SELECT 'tone_by_country', Country_Name, NULL, NULL, Average_Tone FROM tones
+UNION ALL SELECT 'country_event_spike', ActionGeo_CountryCode, NULL, spike_events + baseline_events, spike_score FROM spikes
+UNION ALL SELECT 'events_by_time_and_country', ActionGeo_CountryCode, strftime(event_date, '%Y-%m-%d'), total_events, NULL
+FROM counts"""
+
 _UPDATED = """
 updated AS (
   SELECT * REPLACE (
@@ -766,14 +807,16 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
             f"SELECT {_KEYS}, avg_goldstein_scale, total_articles, "
             "avg_goldstein_scale * total_articles AS impact_score FROM stories",
         ),
-        "analysis_job": _with(
-            _STORED, spikes, _PLACES, _TOP,
-            "SELECT 'top_events' AS table_name, count(*) AS n_rows, "
-            "CAST(sum(GLOBALEVENTID) AS BIGINT) AS total FROM top "
-            "UNION ALL SELECT 'events_per_country', count(*), "
-            "CAST(sum(Total_Events) AS BIGINT) FROM totals "
-            "UNION ALL SELECT 'tone_by_country', count(*), count(Average_Tone) FROM tones "
-            "UNION ALL SELECT 'country_event_spike', count(*), "
-            "CAST(coalesce(sum(spike_events + baseline_events), 0) AS BIGINT) FROM spikes",
+        "analysis_job": _with(_STORED, spikes, _PLACES, _TOP, _SUMMARIES),
+        "analysis_incremental": _with(
+            _STORED.replace("\ng AS (", "\nen AS ("), _UPDATED, "g AS (SELECT * FROM updated)", spikes, _PLACES, _TOP,
+            _SUMMARIES,
+        ),
+        "search_page": _with(
+            _G, _EN, _FOUND,
+            "kpis AS (SELECT count(*) AS n, CAST(sum(num_mentions) AS BIGINT) AS total_mentions, "
+            "CAST(sum(num_articles) AS BIGINT) AS total_articles, "
+            "avg(goldstein_scale) AS avg_goldstein, avg(avg_tone) AS mean_tone FROM found)",
+            f"SELECT {shown}, n, total_mentions, total_articles, avg_goldstein, mean_tone FROM found, kpis",
         ),
     }

@@ -21,6 +21,27 @@ def place_counts(events):
     )
 
 
+def day_place_counts(events):
+    """`place_counts` of each day."""
+    return events.groupBy(CODE, PLACE, "event_date").agg(
+        F.count("*").alias("n"), F.sum("avg_tone").alias("tone_sum"), F.count("avg_tone").alias("tone_n")
+    )
+
+
+def add_day_places(by_day):
+    """`place_counts` of all days, from those of each."""
+    return by_day.groupBy(CODE, PLACE).agg(
+        *(F.sum(c).alias(c) for c in ("n", "tone_sum", "tone_n"))
+    )
+
+
+def country_days(by_day):
+    """`events_by_time_and_country` from the place counts of each day."""
+    counts = by_day.where(F.col(CODE).isNotNull()).groupBy(CODE, "event_date").agg(F.sum("n").alias("total_events"))
+    counts = counts.withColumn("event_ts", F.col("event_date").cast("timestamp")).where(F.col("event_ts").isNotNull())
+    return counts.orderBy(F.desc("event_ts"), CODE)
+
+
 def country_names(places):
     """Modal place per country code, NULL code included."""
     return places.groupBy(CODE).agg(modal_value(F.col(PLACE), F.col("n")).alias("Country_Name"))

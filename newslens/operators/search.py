@@ -3,11 +3,15 @@
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newslens.functions.parsing import as_utc, text_match, utc_literal
 from newslens.functions.topk import top_by_measure
 
+# Matching values of a text column that a search lists in its filter; more are joined.
+LISTED_VALUES = 1000
+
 # The 13 columns of a search result, in order.
 SEARCH_COLUMNS = [
     "EventDescription", "event_date", "Actor1Name", "Actor2Name", "num_mentions", "num_articles",
@@ -77,6 +81,29 @@ def matching_events(events, spec):
     return events
 
 
+def text_filters(spec):
+    """(column, pattern) of the text filters that a search has."""
+    patterns = [
+        ("ActionGeo_FullName", spec.country), ("Actor1Name", spec.actor1), ("Actor2Name", spec.actor2),
+    ]
+    return [(column, pattern) for column, pattern in patterns if (pattern or "").strip()]
+
+
+def with_matching_values(events, values, column, pattern, literal=False, listed=LISTED_VALUES):
+    """Events whose `column` has one of those `values` (field, value) that match the pattern.
+
+    The pattern is tried on the distinct values, not on each event. Up to `listed` matches become
+    a list of plain values, which the Parquet scan checks against statistics, dictionaries and
+    Bloom filters; that many are fetched for it. More are joined, which needs no regular
+    expression over the events either.
+    """
+    matching = values.where(F.col("field") == column).where(text_match(F.col("value"), pattern, literal))
+    found = [r.value for r in matching.select("value").distinct().limit(listed + 1).collect()]
+    if len(found) <= listed:
+        return events.where(F.col(column).isin(found))
+    return events.join(matching.select(F.col("value").alias(column)).distinct(), column, "left_semi").select(*events.columns)
+
+
 def search_events(events, spec):
     """Most covered matching events; a code with several descriptions gives a row for each.
 
@@ -113,6 +140,14 @@ def top_events(events, limit=10_000):
     return top_by_measure(located, "num_articles", limit, "GLOBALEVENTID", "SOURCEURL")
 
 
+def top_events_by_day(events, limit=10_000):
+    """The `top_events` of each day. Each task passes on `limit` rows of a day at most."""
+    located = events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    order = [F.desc("num_articles"), F.asc("GLOBALEVENTID"), F.asc("SOURCEURL")]
+    rank = F.row_number().over(Window.partitionBy("event_date").orderBy(*order))
+    return located.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def map_points(top, day, limit=1000):
     """Coordinates of one day's top events, most covered first."""
     return (

@@ -1,5 +1,7 @@
 """Groups of events that tell one story: country x day x quad class x base code."""
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,38 @@ def story_urls(events, max_urls=20):
     )
 
 
+# Sums that totals and averages are made of.
+_SUMS = ["num_mentions", "num_articles", "num_sources", "avg_tone", "goldstein_scale"]
+
+
+def _counted(events):
+    """Events per story and combination of the mode columns, with their sums.
+
+    Feeds repeat places, actors and coordinates, so these rows are fewer than the events; totals
+    and all six modes are made from them.
+    """
+    located = events.where(F.col(CODE).isNotNull())
+    return located.groupBy(*STORY_KEYS, *STORY_MODES.values()).agg(
+        F.count("*").alias("n"),
+        *(F.sum(c).alias(f"sum_{c}") for c in _SUMS),
+        *(F.count(c).alias(f"n_{c}") for c in ("avg_tone", "goldstein_scale")),
+    )
+
+
+def _totals(counted, min_sources):
+    total = lambda c: F.sum(f"sum_{c}")
+    average = lambda c: F.try_divide(total(c), F.sum(f"n_{c}"))
+    totals = counted.groupBy(*STORY_KEYS).agg(
+        F.sum("n").alias("total_events"),
+        total("num_mentions").alias("total_mentions"),
+        total("num_articles").alias("total_articles"),
+        total("num_sources").alias("total_sources"),
+        average("avg_tone").alias("average_tone"),
+        average("goldstein_scale").alias("avg_goldstein_scale"),
+    )
+    return totals.where(F.col("total_sources") > min_sources)
+
+
 def story_totals(events, min_sources=20):
     """Counts, sums and averages of each story with more than `min_sources` sources in total."""
     totals = events.where(F.col(CODE).isNotNull()).groupBy(*STORY_KEYS).agg(
@@ -48,17 +82,17 @@ def story_totals(events, min_sources=20):
     return totals.where(F.col("total_sources") > min_sources)
 
 
-def _modes(events):
-    """Modal values per story, all six from one scan.
+def _modes(counted):
+    """Modal values per story, all six from the counted rows.
 
-    Grouping sets expand each row in the map task, where equal (story, value) pairs are counted
-    before anything moves.
+    Grouping sets expand each counted row in its task, where equal (story, value) pairs are added
+    up before anything moves.
     """
     columns = list(STORY_MODES.values())
-    counted = (
-        events.select(*STORY_KEYS, *columns)
+    by_value = (
+        counted.select(*STORY_KEYS, *columns, "n")
         .groupingSets([[*STORY_KEYS, column] for column in columns], *STORY_KEYS, *columns)
-        .agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
+        .agg(F.grouping_id().alias("gid"), F.sum("n").alias("n"))
     )
     # In a grouping id, the bit of each column that the set leaves out is 1, last column lowest.
     all_out = 2 ** len(columns) - 1
@@ -66,7 +100,14 @@ def _modes(events):
     for position, (name, column) in enumerate(STORY_MODES.items()):
         in_its_set = F.col("gid") == all_out - 2 ** (len(columns) - 1 - position)
         modes.append(modal_value(F.when(in_its_set, F.col(column)), F.col("n")).alias(name))
-    return counted.groupBy(*STORY_KEYS).agg(*modes)
+    return by_value.groupBy(*STORY_KEYS).agg(*modes)
+
+
+def _large(rows, totals):
+    """Rows of the stories that have totals: those with enough sources."""
+    kept = totals.select(*(F.col(k).alias(f"_{k}") for k in STORY_KEYS))
+    same = reduce(lambda x, y: x & y, (rows[k].eqNullSafe(kept[f"_{k}"]) for k in STORY_KEYS))
+    return rows.join(kept, same, "left_semi")
 
 
 def _sample_urls(events, max_urls):
@@ -86,15 +127,15 @@ def story_groups(events, min_sources=20, max_urls=20):
     Stories with at most `min_sources` sources in total drop out. The modal longitude and
     latitude are taken independently of each other.
 
-    Totals, modes and URLs are each reduced to one row per story, so that no task ever holds the
-    events of a story. Grouping the union of those rows then brings them together; unlike joins,
-    it matches NULL keys.
+    Events are counted once, per story and combination of mode columns; small stories are left
+    out before modes and URLs are sought. Totals, modes and URLs are each reduced to one row per
+    story, so that no task ever holds the events of a story. Grouping the union of those rows
+    then brings them together; unlike joins, it matches NULL keys.
     """
-    located = events.where(F.col(CODE).isNotNull())
-    parts = (
-        story_totals(events, min_sources)
-        .unionByName(_modes(located), allowMissingColumns=True)
-        .unionByName(_sample_urls(located, max_urls), allowMissingColumns=True)
+    counted = _counted(events)
+    totals = _totals(counted, min_sources)
+    parts = totals.unionByName(_modes(_large(counted, totals)), allowMissingColumns=True).unionByName(
+        _sample_urls(_large(events.where(F.col(CODE).isNotNull()), totals), max_urls), allowMissingColumns=True
     )
     columns = [c for c in parts.columns if c not in STORY_KEYS]
     # Each column has a value in one of the three rows only.

@@ -22,3 +22,9 @@ def children(spark, path):
 def delete(spark, path):
     system, place = _at(spark, path)
     system.delete(place, True)
+
+
+def touch(spark, path):
+    """Make sure that an empty file exists."""
+    system, place = _at(spark, path)
+    system.create(place, True).close()

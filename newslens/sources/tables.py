@@ -3,7 +3,50 @@
 from pyspark.sql import functions as F
 
 from newslens.schemas import STORED_EVENT
-from newslens.sinks.files import exists
+from newslens.sinks.files import children, exists
+
+# Text columns of the events that searches match patterns against.
+TEXT_COLUMNS = ["ActionGeo_FullName", "Actor1Name", "Actor2Name"]
+# Tables derived from the events, beside them.
+EVENT_INDEX = "event_index"
+EVENT_VALUES = "event_values"
+CHANGED_DAYS = "_changed_days"
+DAY_PLACES = "day_places"
+DAY_TOPS = "day_tops"
+DAY_TABLES = [DAY_PLACES, DAY_TOPS]
+INDEX_COLUMNS = ["_key", "n", "sum", "event_date"]
+INDEX = "_key BIGINT, n BIGINT, sum DECIMAL(38,0), event_date DATE"
+
+
+def open_mark(root):
+    return f"{root}/_open"
+
+
+def is_open(spark, root):
+    """Whether a writer of the events is at work, or died: derived tables may lag behind."""
+    return exists(spark, open_mark(root))
+
+
+def read_event_index(spark, root):
+    """(_key, n, sum, event_date): how many rows an event has on a day and the sum of their hashes."""
+    if not exists(spark, f"{root}/{EVENT_INDEX}"):
+        return None
+    return spark.read.schema(INDEX).parquet(f"{root}/{EVENT_INDEX}")
+
+
+def read_event_values(spark, root):
+    """(field, value): every value of the text columns, perhaps some of rows that have gone."""
+    if not exists(spark, f"{root}/{EVENT_VALUES}"):
+        return None
+    return spark.read.schema("value STRING, field STRING").parquet(f"{root}/{EVENT_VALUES}").select("field", "value")
+
+
+def changed_days(spark, root):
+    """(files, days): what has been noted since the summaries last took it up."""
+    files = [f for f in children(spark, f"{root}/{CHANGED_DAYS}") if f.endswith(".parquet")]
+    if not files:
+        return [], []
+    return files, sorted({r.event_date for r in spark.read.schema("event_date DATE").parquet(*files).collect()})
 
 
 def read_stored_events(spark, root):
