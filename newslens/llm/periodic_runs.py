@@ -29,7 +29,8 @@ def _seeds(ids, octave):
     """Boundaries from which words up to the next boundary come again a period of the octave later.
 
     A hash at each boundary is compared with those of all the octave's periods in one step. Every
-    run has such boundaries; what else is found here is sorted out by comparing words.
+    run has such boundaries, from the third octave on two in a row; what else is found here is
+    sorted out by comparing words.
     """
     grid, low = _grid(octave), 1 << octave
     hashes = run_hashes(ids, grid)
@@ -43,29 +44,54 @@ def _seeds(ids, octave):
     for i in range(0, len(at), step):
         some = at[i : i + step]
         rows, periods = np.nonzero(views[some] == hashes[some, None])
-        found.append(some[rows[some[rows] + low + periods < len(hashes)]])
-    return np.unique(np.concatenate(found))
+        real = some[rows] + low + periods < len(hashes)
+        found.append((i + rows[real]) * low + periods[real])
+    found = np.concatenate(found)
+    if grid == low:
+        found = found[np.isin(found + low, found) | np.isin(found - low, found)]
+    return np.unique(found // low) * grid
 
 
-def tiles(ids):
-    """(octave, first word, boundaries, words) of the tiles of a text that hold boundaries of `_seeds`.
+def tiles(texts):
+    """(number of the text, octave, first word, boundaries, words) of the tiles that hold boundaries.
 
-    A tile has a core, whose boundaries it looks after, one grid step before it, and behind it the
-    step and the two periods that words at its last boundary are compared with. Boundaries are
-    counted from the tile's first word.
+    `texts` are arrays of word numbers; those of one call are searched together, long ones first,
+    so that each octave's search takes the texts that are long enough for it. A tile has a core,
+    whose boundaries it looks after, one grid step before it, and behind it what words at its last
+    boundary are compared with. Boundaries are counted from the tile's first word.
     """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    ends = np.cumsum(sizes)
+    # The same word has another number in each text.
+    ids = np.concatenate([texts[i] | np.uint64(n << 32) for n, i in enumerate(order)] or [np.zeros(0, np.uint64)])
     octave = 0
-    while len(ids) >= max(MIN_WORDS, MIN_PERIODS << octave):
+    while True:
+        n_long = int((sizes >= max(MIN_WORDS, MIN_PERIODS << octave)).sum())
+        if not n_long:
+            return
         grid = _grid(octave)
-        core = max(TILE, TILE_PERIODS << octave) // grid * grid
-        at = _seeds(ids, octave)
-        for tile in np.unique(at // core):
-            start = max(0, int(tile) * core - grid)
-            end = (int(tile) + 1) * core + grid + (2 << octave)
-            yield octave, start, (at[at // core == tile] - start).astype(np.int32), ids[start:end].astype(np.int32)
+        core = max(TILE, TILE_PERIODS << octave)
+        at = _seeds(ids[: ends[n_long - 1]], octave)
+        text = np.searchsorted(ends, at, "right")
+        at = at - (ends - sizes)[text]
+        key = text << 32 | at // core
+        for start_at, end_at in _stretches(key):
+            i, tile = order[text[start_at]], int(at[start_at]) // core
+            start = max(0, tile * core - grid)
+            words = texts[i][start : (tile + 1) * core + 2 * grid + (2 << octave)].astype(np.int32)
+            yield i, octave, start, (at[start_at:end_at] - start).astype(np.int32), words
         octave += 1
 
 
+def _stretches(key):
+    """(from, to) of the stretches of equal neighbours."""
+    if not len(key):
+        return []
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return zip([0, *cuts], [*cuts, len(key)], strict=True)
+
+
 def z_function(words):
     """For each place, how many words from there on equal those at the beginning."""
     n = len(words)
@@ -137,31 +163,37 @@ def _taken_apart(docs, doc_id, text):
             [batch.column(0).take(at), batch.column(1).take(at), *columns], DOC + [name for name, _ in _PARTS]
         )
 
+    def searched(batch, places, texts):
+        """Batches of the rows of some texts, whose words are counted from `places` on."""
+        ids, joined = [], []
+        for words in texts:
+            numbers = {}
+            ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint64, len(words)))
+            joined.append(b" ".join(words).decode("utf-8", "replace"))
+        at, parts, held, tiled = [], [], 0, [False] * len(texts)
+        for i, octave, first, boundaries, words in tiles(ids):
+            tiled[i] = True
+            at.append(places[i])
+            parts.append((None, None, None, octave, first, boundaries, words))
+            held += len(words)
+            if held > _BATCH_WORDS:
+                yield batch_of(batch, at, parts)
+                at, parts, held = [], [], 0
+        whole = zip(map(len, texts), tiled, joined, strict=True)
+        yield batch_of(batch, at + places, parts + [(*row, None, None, None, None) for row in whole])
+
     def run(batches):
         for batch in batches:
-            places, parts, held = [], [], 0
+            places, texts, held = [], [], 0
             for i, body in enumerate(batch.column(2)):
-                words = (body.as_py() or b"").split()
-                numbers = {}
-                ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint64, len(words))
-                tiled = False
-                for octave, first, at, tile in tiles(ids):
-                    tiled = True
-                    places.append(i)
-                    parts.append((None, None, None, octave, first, at, tile))
-                    held += len(tile)
-                    if held > _BATCH_WORDS:
-                        yield batch_of(batch, places, parts)
-                        places, parts, held = [], [], 0
                 places.append(i)
-                joined = b" ".join(words).decode("utf-8", "replace")
-                parts.append((len(words), tiled, joined, None, None, None, None))
-                held += len(words)
+                texts.append((body.as_py() or b"").split())
+                held += len(texts[-1])
                 if held > _BATCH_WORDS:
-                    yield batch_of(batch, places, parts)
-                    places, parts, held = [], [], 0
-            if parts:
-                yield batch_of(batch, places, parts)
+                    yield from searched(batch, places, texts)
+                    places, texts, held = [], [], 0
+            if texts:
+                yield from searched(batch, places, texts)
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(

@@ -70,18 +70,20 @@ def test_random_texts(spark, monkeypatch, tile):
 def test_fragments_of_every_tile_add_up():
     """The in-task parts alone, over many short texts of two words and over long periods."""
     rng = random.Random(9)
+    texts = []
     for _ in range(300):
         words = [rng.randrange(2) for _ in range(rng.randrange(6, 80))]
         if rng.random() < 0.5:
             words = words[: rng.randrange(1, 12)] * 9
-        ids = np.array(words, np.uint64)
-        equal = set()
-        for octave, first, at, tile in periodic_runs.tiles(ids):
-            for p, spans in periodic_runs.fragments(octave, at.tolist(), tile.tolist()).items():
-                equal |= {(p, first + i) for s, e in spans for i in range(s, e)}
-        assert all(words[i] == words[i + p] for p, i in equal)
+        texts.append(words)
+    equal = [set() for _ in texts]
+    for i, octave, first, at, tile in periodic_runs.tiles([np.array(words, np.uint64) for words in texts]):
+        for p, spans in periodic_runs.fragments(octave, at.tolist(), tile.tolist()).items():
+            equal[i] |= {(p, first + at) for s, e in spans for at in range(s, e)}
+    for words, found in zip(texts, equal, strict=True):
+        assert all(words[i] == words[i + p] for p, i in found)
         for start, p, length in brute_runs(words):
-            assert {(p, i) for i in range(start, start + length - p)} <= equal
+            assert {(p, i) for i in range(start, start + length - p)} <= found
 
 
 def test_edge_cases(spark):
