@@ -14,6 +14,8 @@ MIN_WORDS = 6
 # Words of a tile, without its overlaps; where periods are long, a tile has TILE_PERIODS of them.
 TILE = 1024
 TILE_PERIODS = 4
+# Words of tiles that one task solves.
+TASK_WORDS = 1 << 20
 
 
 def _grid(octave):
@@ -282,7 +284,12 @@ def periodic_runs(docs, doc_id="doc_id", text="text"):
     of a run is stitched per document and period. So a very long text is no task of its own.
     """
     parts = keep(_taken_apart(docs, doc_id, text), "runs-parts", compression="zstd")
-    laid = parts.where("octave IS NOT NULL").dropDuplicates([*DOC, "octave", "first"])
+    laid = parts.where("octave IS NOT NULL")
+    # Tiles are small and much work: as many tasks as their words ask for, whatever their bytes.
+    n_words = laid.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_words // TASK_WORDS)
+    place = [*DOC, "octave", "first"]
+    laid = laid.repartition(n_tasks, *place).dropDuplicates(place)
     pieces = _solved(laid.select(*DOC, "octave", "first", "boundaries", "words"))
     runs = _stitched(pieces).groupBy(*DOC).agg(
         F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs")
