@@ -50,9 +50,15 @@ from newslens.operators.stories import (  # noqa: E402
     story_totals,
     story_urls,
 )
-from newslens.plans.analysis import run_analysis, run_story_analysis  # noqa: E402
+from newslens.plans.analysis import clear, run_analysis, run_story_analysis  # noqa: E402
 from newslens.plans.dashboard import country_insights, search_stored  # noqa: E402
-from newslens.plans.ingest import ingest, ingest_window  # noqa: E402
+from newslens.plans.ingest import (  # noqa: E402
+    ingest,
+    ingest_checked_window,
+    ingest_window,
+    read_gkg_window,
+    read_quarantine,
+)
 from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG, fields  # noqa: E402
 from newslens.session import scratch_path, use_utc  # noqa: E402
 from newslens.sinks.export import export_csv, read_export  # noqa: E402
@@ -60,8 +66,9 @@ from newslens.sinks.tables import write_events, write_summary  # noqa: E402
 from newslens.sources.archives import read_zipped_events  # noqa: E402
 from newslens.sources.codes import read_event_codes  # noqa: E402
 from newslens.sources.delimited import read_raw_events, read_raw_gkg  # noqa: E402
-from newslens.sources.manifest import select_feed_files as feed_window  # noqa: E402
+from newslens.sources.manifest import feed_check as check_feed, select_feed_files as feed_window  # noqa: E402
 from newslens.sources.tables import read_events, read_table, summary_head  # noqa: E402
+from newslens.streaming.arrivals import append_arrivals, compact_arrivals  # noqa: E402
 
 
 
@@ -99,6 +106,7 @@ ACTOR_SPEC = SearchSpec(
     actor1="CLICK|view", actor2="america", mentions_min=10, mentions_max=60, limit=200,
 )
 LITERAL_SPEC = SearchSpec(country="City1, NATION_1", literal=True, tone_max=5.0, limit=100)
+RANGES_SPEC = SearchSpec(goldstein_min=-6.5, goldstein_max=7.0, tone_min=-9.5, tone_max=8.0, mentions_min=0, limit=300)
 TOP_DEFAULT = 10_000
 WINDOW_HOURS = 240
 
@@ -283,6 +291,15 @@ def scan_gkg_tsv(spark, sf_dir):
     return read_raw_gkg(spark, path)
 
 
+def scan_gkg_window(spark, sf_dir):
+    """Every column of the knowledge-graph archives that the manifest lists for the window."""
+    folder = scratch_path(spark, "gkg-zip")
+    documents = use_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    adapter.land_archives(adapter.hourly_gkg_archives(documents), folder)
+    manifest = _landed_text(spark, adapter.manifest_lines(spark, sf_dir), "manifest")
+    return read_gkg_window(spark, manifest, folder, NOW, WINDOW_HOURS)
+
+
 def load_event_codes(spark, sf_dir):
     """A lookup text with one code per customer, uneven white space, and a header in each file."""
     customer = use_utc(spark).read.parquet(f"{sf_dir}/customer.parquet")
@@ -357,6 +374,73 @@ def ingest_zipped_window(spark, sf_dir):
     return _stored(spark, root)
 
 
+def stream_events(spark, sf_dir):
+    """The events table after a stream of feed files that repeat a third of the events each."""
+    folder, root, state = (scratch_path(spark, name) for name in ("stream", "tables", "state"))
+    lines = _event_lines(spark, sf_dir)
+    number = F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint") % 3
+    codes = _landed_codes(spark)
+    for part in range(3):
+        # Of each file the next one repeats a part; the last repeats the first.
+        lines.where((number == part) | (number == (part + 1) % 3)).write.mode("append").text(folder)
+        append_arrivals(spark, folder, root, state, max_files=3).awaitTermination()
+        if part:
+            compact_arrivals(spark, codes, root)
+    return _stored(spark, root)
+
+
+def _damaged_tables(spark, sf_dir):
+    lines = adapter.damaged_lines(adapter.raw_events(_g(spark, sf_dir)))
+    root, feed = scratch_path(spark, "tables"), _landed_text(spark, lines, "damaged")
+    for _ in range(2):
+        ingest(spark, feed, _landed_codes(spark), root)
+    return root
+
+
+def quarantined_rows(spark, sf_dir):
+    """Dropped and damaged rows of a feed that was ingested twice, with the reason and their fields."""
+    rows = read_quarantine(spark, _damaged_tables(spark, sf_dir))
+    return rows.select("GLOBALEVENTID", "reason", "dropped", F.size(F.split("line", "\t")).alias("n_fields"))
+
+
+def events_table_damaged(spark, sf_dir):
+    """The events of the same feed: what could be read, without rows that have no day."""
+    return _stored(spark, _damaged_tables(spark, sf_dir))
+
+
+def _checked_feed(spark, sf_dir):
+    """(manifest, folder): landed archives of which some are cut off, altered or missing."""
+    whole, folder = scratch_path(spark, "published"), scratch_path(spark, "landed")
+    adapter.land_archives(adapter.hourly_archives(_g(spark, sf_dir), spark, sf_dir), whole)
+    files = spark.read.format("binaryFile").load(whole).select(
+        F.element_at(F.split("path", "/"), -1).alias("path"), "length", "content",
+        F.substring(F.element_at(F.split("path", "/"), -1), 9, 2).cast("int").alias("hour"),
+    )
+    manifest = _landed_text(spark, files.select(F.concat_ws(
+        " ", F.col("length").cast("string"), F.md5("content"), F.concat(F.lit("http://feed.example/v2/"), "path")
+    ).alias("value")), "manifest")
+    damaged = files.where("hour % 7 != 2").selectExpr(
+        "path", "CASE hour % 7 WHEN 0 THEN substring(content, 1, length - 10) "
+        "WHEN 1 THEN concat(substring(content, 1, length - 1), X'7F') ELSE content END AS content",
+    )
+    adapter.land_archives(damaged, folder)
+    return manifest, folder
+
+
+def feed_check(spark, sf_dir):
+    """The state of each archive of the window, of which some are cut off, altered or missing."""
+    manifest, folder = _checked_feed(spark, sf_dir)
+    return check_feed(spark, manifest, folder, "export", NOW, WINDOW_HOURS)
+
+
+def ingest_checked(spark, sf_dir):
+    """The events table from the sound archives of the same window."""
+    manifest, folder = _checked_feed(spark, sf_dir)
+    root = scratch_path(spark, "tables")
+    ingest_checked_window(spark, manifest, folder, _landed_codes(spark), root, NOW, WINDOW_HOURS)
+    return _stored(spark, root)
+
+
 def top_events_default(spark, sf_dir):
     """The library's default of 10,000 events, with heavy ties, over each event four times."""
     each = F.explode(F.expr("sequence(0, 3)")).alias("copy")
@@ -382,6 +466,48 @@ def search_page(spark, sf_dir):
     return _measures_as_double(page["display"]).join(kpis)
 
 
+def search_missing_measures(spark, sf_dir):
+    """A search by number ranges over events of which many have no measure; those never pass."""
+    gaps = {"num_mentions": 3, "goldstein_scale": 4, "avg_tone": 5}
+    events = _enriched(spark, sf_dir).withColumns({
+        name: F.expr(f"IF(GLOBALEVENTID % {n} = 0, NULL, {name})") for name, n in gaps.items()
+    })
+    return search(events, RANGES_SPEC)
+
+
+def root_and_added(spark, sf_dir):
+    """Root flag and day of addition of every raw event; some have no flag, some no real day."""
+    raw = adapter.raw_events(_g(spark, sf_dir)).withColumns({
+        "IsRootEvent": F.expr("IF(GLOBALEVENTID % 3 = 2, NULL, CAST(GLOBALEVENTID % 3 AS INT))"),
+        "DATEADDED": F.expr("IF(GLOBALEVENTID % 7 = 0, 20240230120000, DATEADDED + 123456)"),
+    })
+    rows = clean(raw, extra=["is_root_event", "date_added"])
+    return rows.select("GLOBALEVENTID", "is_root_event", F.col("date_added").cast("timestamp_ntz").alias("date_added"))
+
+
+def cleared_summaries(spark, sf_dir):
+    """Rows of each stored table before and after the summaries are emptied."""
+    root = scratch_path(spark, "analysis")
+    write_events(_enriched(spark, sf_dir), root)
+    run_analysis(spark, root, BASELINE_DAYS * 24, TOP_EVENTS, MIN_BASELINE)
+    names = ["events", "top_events", "events_per_country", "events_by_time_and_country"]
+
+    def counted(state):
+        rows = [
+            read_table(spark, root, name).agg(
+                F.lit(name).alias("table_name"), F.lit(state).alias("state"), F.count("*").alias("n_rows")
+            )
+            for name in names
+        ]
+        path = scratch_path(spark, "counted")
+        reduce(DataFrame.unionByName, rows).write.parquet(path)
+        return spark.read.parquet(path)
+
+    before = counted("before")
+    clear(spark, root, events_too=False)
+    return before.unionByName(counted("after"))
+
+
 def search_literal(spark, sf_dir):
     return search(_enriched(spark, sf_dir), LITERAL_SPEC)
 
@@ -440,6 +566,7 @@ QUERIES = [
     scan_gkg_tsv, load_event_codes, select_feed_files, events_table_rerun,
     analysis_job, events_table_update, ingest_zipped_window, top_events_default, search_actors,
     search_literal, stored_impact, analysis_incremental, search_page,
+    scan_gkg_window, search_missing_measures, root_and_added, cleared_summaries, stream_events, quarantined_rows, events_table_damaged, feed_check, ingest_checked,
 ]
 
 
@@ -664,6 +791,28 @@ updated AS (
   FROM en WHERE GLOBALEVENTID % 7 > 0 OR GLOBALEVENTID % 5 < 2)"""
 
 
+# The damaged feed: rows without a day are gone, cut-off rows keep their first fields.
+_CUT = adapter.CUT
+_KEPT_OF_CUT = [name for name, _ in fields(RAW_EVENT)][: adapter.CUT_FIELDS] + ["event_date", "year_month"]
+_DAMAGED = (
+    _G.replace("\ng AS (", "\nsound AS (") + ",\ng AS (\n  SELECT "
+    + ", ".join(
+        c if c == "GLOBALEVENTID" else
+        f"CASE WHEN GLOBALEVENTID % 43 = 0 THEN '\"' || Actor1Name ELSE Actor1Name END AS {c}" if c == "Actor1Name" else
+        f"CASE WHEN {_CUT} OR GLOBALEVENTID % 47 = 0 THEN NULL ELSE {c} END AS {c}" if c == "num_mentions" else
+        c if c in _KEPT_OF_CUT else f"CASE WHEN NOT ({_CUT}) THEN {c} END AS {c}"
+        for c in CLEAN_COLUMNS
+    )
+    + " FROM sound WHERE GLOBALEVENTID % 31 > 0 AND GLOBALEVENTID % 37 > 0)"
+)
+_QUARANTINED = f"""
+SELECT GLOBALEVENTID, CASE WHEN {_CUT} THEN 'number of fields' WHEN GLOBALEVENTID % 47 = 0 THEN 'unreadable field'
+    WHEN GLOBALEVENTID % 37 = 0 THEN 'no day' ELSE 'no calendar day' END AS reason,
+  GLOBALEVENTID % 31 = 0 OR GLOBALEVENTID % 37 = 0 AS dropped,
+  CAST(CASE WHEN {_CUT} THEN {adapter.CUT_FIELDS} ELSE 61 END AS INT) AS n_fields
+FROM g WHERE {_CUT} OR GLOBALEVENTID % 47 = 0 OR GLOBALEVENTID % 37 = 0 OR GLOBALEVENTID % 31 = 0"""
+
+
 def _search_sql(spec, *texts):
     where = " AND ".join([
         *texts,
@@ -688,6 +837,10 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
     scan = "SELECT " + ", ".join(
         f'{_raw_sql(name, kind)} AS "{name}"' for name, kind in fields(RAW_EVENT)
     ) + " FROM g"
+    scan_gkg = "SELECT " + ", ".join(
+        f'CAST({_GKG.get(name, "NULL")} AS {"INT" if kind == "INT" else "VARCHAR"}) AS "{name}"'
+        for name, kind in fields(RAW_GKG)
+    ) + " FROM documents"
     report = "SELECT * FROM spikes ORDER BY spike_score DESC, ActionGeo_CountryCode LIMIT 50"
     shown = ", ".join(
         ["event_date", "ActionGeo_FullName", "Actor1Name", "Actor2Name", "EventDescription",
@@ -770,10 +923,10 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
         "enrich_events": _with(_G, _EN, "SELECT * FROM en"),
         "scan_events_tsv": _with(_G, scan),
         "scan_zipped_events": _with(_G, scan),
-        "scan_gkg_tsv": "SELECT " + ", ".join(
-            f'CAST({_GKG.get(name, "NULL")} AS {"INT" if kind == "INT" else "VARCHAR"}) AS "{name}"'
-            for name, kind in fields(RAW_GKG)
-        ) + " FROM documents",
+        "scan_gkg_tsv": scan_gkg,
+        "scan_gkg_window": f"{scan_gkg} WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id % 720) "
+        f"> TIMESTAMP '{NOW}' - INTERVAL {WINDOW_HOURS + 3} HOUR "
+        "AND TIMESTAMP '2024-01-01' + to_hours(doc_id % 720) IN (SELECT date_trunc('hour', ts) FROM events)",
         "load_event_codes": "SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS EventCode, "
         "replace(c_name, '#', ' number ') AS EventDescription FROM customer",
         "select_feed_files": "WITH hours AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) "
@@ -787,6 +940,37 @@ SELECT 'most_negative' AS polarity, Country_Name, Average_Tone FROM (
             "SELECT en.* FROM en JOIN events ON event_id = GLOBALEVENTID "
             f"WHERE date_trunc('hour', ts) > TIMESTAMP '{NOW}' - INTERVAL {WINDOW_HOURS + 3} HOUR",
         ),
+        "search_missing_measures": _with(
+            _G, _EN.replace("\nen AS (", "\nwhole AS ("),
+            "en AS (SELECT * REPLACE (CASE WHEN GLOBALEVENTID % 3 > 0 THEN num_mentions END AS num_mentions, "
+            "CASE WHEN GLOBALEVENTID % 4 > 0 THEN goldstein_scale END AS goldstein_scale, "
+            "CASE WHEN GLOBALEVENTID % 5 > 0 THEN avg_tone END AS avg_tone) FROM whole)",
+            _search_sql(RANGES_SPEC, "true"),
+        ),
+        "root_and_added": _with(
+            _G,
+            "SELECT GLOBALEVENTID, CASE GLOBALEVENTID % 3 WHEN 0 THEN false WHEN 1 THEN true END AS is_root_event, "
+            "CASE WHEN GLOBALEVENTID % 7 > 0 THEN event_date END AS date_added FROM g",
+        ),
+        "cleared_summaries": _with(
+            _STORED, spikes, _PLACES, _TOP,
+            "n AS (SELECT 'events' AS table_name, count(*) AS n, count(*) AS left_over FROM g "
+            "UNION ALL SELECT 'top_events', count(*), 0 FROM top UNION ALL SELECT 'events_per_country', count(*), 0 FROM totals "
+            "UNION ALL SELECT 'events_by_time_and_country', count(*), 0 FROM counts)",
+            "SELECT table_name, 'before' AS state, n AS n_rows FROM n UNION ALL SELECT table_name, 'after', left_over FROM n",
+        ),
+        "stream_events": _with(_G, _EN, "SELECT * FROM en"),
+        "quarantined_rows": _with(_G, _QUARANTINED),
+        "events_table_damaged": _with(_DAMAGED, _EN, "SELECT * FROM en"),
+        "feed_check": "SELECT strftime(h, '%Y%m%d%H%M%S') || '.export.CSV.zip' AS name, "
+        "CASE hour(h) % 7 WHEN 0 THEN 'wrong size' WHEN 1 THEN 'wrong hash' WHEN 2 THEN 'missing' ELSE 'sound' END AS state "
+        "FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) x "
+        f"WHERE h > TIMESTAMP '{NOW}' - INTERVAL {WINDOW_HOURS + 3} HOUR",
+        "ingest_checked": _with(
+            _G, _EN,
+            "SELECT en.* FROM en JOIN events ON event_id = GLOBALEVENTID "
+            f"WHERE date_trunc('hour', ts) > TIMESTAMP '{NOW}' - INTERVAL {WINDOW_HOURS + 3} HOUR AND hour(ts) % 7 > 2",
+        ),
         "top_events_default": _with(
             _G,
             "SELECT GLOBALEVENTID * 4 + copy AS GLOBALEVENTID, num_articles, lat, lon "

@@ -170,6 +170,27 @@ def manifest_lines(spark, sf_dir):
     )
 
 
+# Damage done to feed lines: SQL over an event id, and what becomes of the line.
+DAMAGE = {
+    "GLOBALEVENTID % 31 = 0": {"SQLDATE": "'20240231'"},
+    "GLOBALEVENTID % 37 = 0": {"SQLDATE": "''"},
+    "GLOBALEVENTID % 43 = 0": {"Actor1Name": "concat('\"', Actor1Name)"},
+    "GLOBALEVENTID % 47 = 0": {"NumMentions": "'many'"},
+}
+CUT = "GLOBALEVENTID % 41 = 0"
+CUT_FIELDS = 10
+
+
+def damaged_lines(raw):
+    """`tsv_lines` with impossible and missing days, stray quotes, unreadable numbers, cut-off rows."""
+    values = {name: f"coalesce(CAST(`{name}` AS STRING), '')" for name in raw.columns}
+    for where, changes in DAMAGE.items():
+        for name, value in changes.items():
+            values[name] = f"IF({where}, coalesce({value}, ''), {values[name]})"
+    whole = f"concat_ws('\t', {', '.join(values.values())})"
+    return raw.selectExpr(f"IF({CUT}, substring_index({whole}, '\t', {CUT_FIELDS}), {whole}) AS value")
+
+
 def _pack(batches):
     """Lines -> zip archives of bounded size, named by task and number."""
     task, number, lines = TaskContext.get().partitionId(), 0, []
@@ -196,26 +217,54 @@ def archives(lines):
     return lines.mapInArrow(_pack, "path string, content binary")
 
 
+def named_archives(lines):
+    """(path, content) rows: the lines of each `name` of (name, line) rows as `name`.zip.
+
+    Lines go into their archive as they come, so an archive is held compressed only.
+    """
+
+    def pack(batches):
+        name = packed = target = member = None
+
+        def done():
+            member.close()
+            target.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{name}.zip"], "content": [packed.getvalue()]})
+
+        for batch in batches:
+            for now, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != name:
+                    if name is not None:
+                        yield done()
+                    name, packed = now, io.BytesIO()
+                    target = zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED)
+                    member = target.open(name, "w", force_zip64=True)
+                member.write(f"{line}\n".encode())
+        if name is not None:
+            yield done()
+
+    ordered = lines.select("name", "line").repartition("name").sortWithinPartitions("name")
+    return ordered.mapInArrow(pack, "path string, content binary")
+
+
+def _line(raw):
+    return F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in raw.columns)).alias("line")
+
+
 def hourly_archives(clean, spark, sf_dir):
     """(path, content) rows, an archive for the events of each hour, named as in the manifest."""
     hours = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("GLOBALEVENTID"), F.date_format("ts", "yyyyMMddHH'0000'").alias("hour")
+        F.col("event_id").alias("GLOBALEVENTID"), F.date_format("ts", "yyyyMMddHH'0000.export.CSV'").alias("name")
     )
     raw = raw_events(clean)
-    lines = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in raw.columns))
-    by_hour = raw.join(hours, "GLOBALEVENTID").select("hour", lines.alias("line")).groupBy("hour").agg(
-        F.collect_list("line").alias("lines")
-    )
+    return named_archives(raw.join(hours, "GLOBALEVENTID").select("name", _line(raw)))
 
-    def pack(batches):
-        for batch in batches:
-            for hour, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packed = io.BytesIO()
-                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
-                    target.writestr(f"{hour}.export.CSV", "\n".join(lines) + "\n")
-                yield pa.RecordBatch.from_pydict({"path": [f"{hour}.export.CSV.zip"], "content": [packed.getvalue()]})
 
-    return by_hour.mapInArrow(pack, "path string, content binary")
+def hourly_gkg_archives(documents):
+    """(path, content) rows of knowledge-graph archives: a document for each hour of January in turn."""
+    raw = raw_gkg(documents)
+    hour = F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(GKGRECORDID AS INT) % 720)")
+    return named_archives(raw.select(F.date_format(hour, "yyyyMMddHH'0000.gkg.csv'").alias("name"), _line(raw)))
 
 
 def land_archives(packed, folder):

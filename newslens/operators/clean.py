@@ -12,10 +12,10 @@ EXTRA_COLUMNS = {
 }
 
 
-def clean_events(raw, extra=()):
-    """Typed events; rows whose SQLDATE is missing or no calendar day are dropped.
+def typed_events(raw, extra=()):
+    """The columns of a cleaned event; event_date is NULL where there is no calendar day.
 
-    `extra` may name `is_root_event` and `date_added`.
+    `extra` may name `is_root_event` and `date_added`, or columns of `raw`.
     """
     derived = {
         "event_date": day_from_int(F.col("SQLDATE")),
@@ -29,5 +29,10 @@ def clean_events(raw, extra=()):
         "lat": F.col("ActionGeo_Lat"),
     }
     columns = [derived[c].alias(c) if c in derived else c for c in CLEAN_COLUMNS]
-    columns += [EXTRA_COLUMNS[c]().alias(c) for c in extra]
-    return raw.select(*columns).where(F.col("event_date").isNotNull())
+    columns += [EXTRA_COLUMNS[c]().alias(c) if c in EXTRA_COLUMNS else c for c in extra]
+    return raw.select(*columns)
+
+
+def clean_events(raw, extra=()):
+    """`typed_events` without rows whose SQLDATE is missing or no calendar day."""
+    return typed_events(raw, extra).where(F.col("event_date").isNotNull())

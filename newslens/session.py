@@ -1,5 +1,6 @@
 """Session settings the results depend on, and the folder for intermediate files."""
 
+import re
 import uuid
 
 
@@ -10,11 +11,16 @@ def use_utc(spark):
 
 
 def scratch_root(spark):
-    """The shared folder named in `spark.checkpoint.dir`; where that is unset, the warehouse.
+    """A part for each application of the shared folder that `spark.checkpoint.dir` names.
 
-    Both are folders that the driver and all executors see. Each application has its own part.
+    Where that is unset, a session in one process uses its warehouse. On a cluster it has to be
+    set: the warehouse's default is a folder of the driver's machine, which executors do not see.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/newslens/{spark.sparkContext.applicationId}"
 
 

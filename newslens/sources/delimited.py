@@ -19,6 +19,20 @@ def _scan(spark, paths, ddl, keep_corrupt):
     return reader.schema(ddl).csv(paths)
 
 
+def parsed_lines(lines, ddl, line_column=None):
+    """Rows of a column `line` of text, parsed in the JVM; blank lines are skipped.
+
+    With `line_column` the row keeps its text under that name, and a column CORRUPT holds it where
+    it has too few or too many fields or one that is no value of its type. `inline` keeps later
+    filters above the parse; pushed below it, they would parse each line a second time.
+    """
+    lines = lines.where(F.col("line").rlike(r"\S"))
+    if line_column is None:
+        return lines.select(F.inline(F.array(F.from_csv("line", ddl, TSV))))
+    whole = F.from_csv("line", f"{ddl}, {CORRUPT} STRING", TSV | {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(F.col("line").alias(line_column), F.inline(F.array(whole)))
+
+
 def read_raw_events(spark, paths, keep_corrupt=False):
     """Event rows of one path or a list of paths, 61 columns as delivered."""
     return _scan(spark, paths, RAW_EVENT, keep_corrupt)

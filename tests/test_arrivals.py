@@ -1,0 +1,92 @@
+"""Arrivals of a stream: repeats, changes, replays, late rows, compaction."""
+
+import pytest
+
+from newslens.sources.tables import read_events
+from newslens.streaming.arrivals import append_arrivals, compact_arrivals, read_arrivals
+
+from helpers import day
+from test_sources import tsv, write
+
+
+def line(i, **values):
+    values = {"SQLDATE": 20240301, "EventCode": "010", "NumArticles": i, "DATEADDED": 20240301120000} | values
+    return tsv(GLOBALEVENTID=i, **values)
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    """(land lines, append them, the stored (id, articles))"""
+    folder, root, state = tmp_path / "in", str(tmp_path / "db"), str(tmp_path / "state")
+    folder.mkdir()
+    codes = write(tmp_path / "codes.txt", "h", "010 Make statement")
+
+    def land(name, *lines):
+        write(folder / f".{name}", *lines)
+        (folder / f".{name}").rename(folder / name)
+
+    def append(**options):
+        query = append_arrivals(spark, str(folder), root, state, **options)
+        query.awaitTermination()
+        return query
+
+    def stored():
+        n = compact_arrivals(spark, codes, root)
+        return n, sorted((r.GLOBALEVENTID, r.num_articles) for r in read_events(spark, root).collect())
+
+    return land, append, stored, root, tmp_path / "state"
+
+
+def test_repeats_are_dropped_and_changes_pass(spark, feed):
+    land, append, stored, root, _ = feed
+    land("a.CSV", line(1), line(2), line(2), tsv(GLOBALEVENTID=9, SQLDATE=20240231))
+    append()
+    assert sorted(r.GLOBALEVENTID for r in read_arrivals(spark, root).collect()) == [1, 2]
+    land("b.CSV", line(1), line(2, NumArticles=20), line(3))
+    append()
+    # Across batches and before any compaction: the repeat of 1 is not there twice.
+    assert sorted((r.GLOBALEVENTID, r.num_articles) for r in read_arrivals(spark, root).collect()) == [
+        (1, 1), (2, 2), (2, 20), (3, 3)]
+    assert stored()[1] == [(1, 1), (2, 20), (3, 3)]
+    assert read_arrivals(spark, root) is None and stored()[0] == 0
+
+
+def test_late_rows_are_kept(spark, feed):
+    land, append, stored, root, _ = feed
+    land("a.CSV", line(1))
+    append(remember="1 hours")
+    land("b.CSV", line(2, SQLDATE=20200101, DATEADDED=20200101000000))
+    append(remember="1 hours")
+    assert stored()[1] == [(1, 1), (2, 2)]
+    assert {r.event_date for r in read_events(spark, root).collect()} == {day(1), day(1).replace(2020, 1, 1)}
+
+
+def test_a_replayed_batch_replaces_itself(spark, feed):
+    land, append, stored, root, state = feed
+    land("a.CSV", line(1), line(2))
+    append()
+    land("b.CSV", line(3))
+    append()
+    # The last batch was written, but the job died before it was committed.
+    last = max((f for f in (state / "commits").glob("[0-9]*")), key=lambda f: int(f.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    append()
+    assert sorted(r.GLOBALEVENTID for r in read_arrivals(spark, root).collect()) == [1, 2, 3]
+    assert stored()[1] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_a_compaction_that_died_is_repeated(spark, feed, monkeypatch):
+    land, append, stored, root, _ = feed
+    land("a.CSV", line(1), line(2))
+    append()
+    from newslens.streaming import arrivals
+
+    def die(*_):
+        raise RuntimeError("died")
+
+    monkeypatch.setattr(arrivals, "delete", die)
+    with pytest.raises(RuntimeError):
+        stored()
+    monkeypatch.undo()
+    assert stored()[1] == [(1, 1), (2, 2)]
