@@ -94,8 +94,8 @@ def lines_of(source, ranks, percent=PERCENT):
 
     Words are ordered from rare to frequent. The prefix is the first n - ceil(t * n) + 1 of them:
     sets that are similar have a word of their prefixes in common. Words that no other line has
-    are the first; they are left out of it, and `skipped` counts them. Sets under four words have
-    no other similar ones and no prefix. A bit of the bitmap is the parity of the words on it.
+    are the first; they are left out of it, and `skipped` counts them. Sets of n words
+    with n / (n + 1) under the threshold have no other similar ones and no prefix. A bit of the bitmap is the parity of the words on it.
     """
     kind = source.schema["doc_id"].dataType.simpleString()
     shared = source.sparkSession.sparkContext.broadcast(ranks)
@@ -122,7 +122,7 @@ def lines_of(source, ranks, percent=PERCENT):
             keys = [np.add.reduceat(mix(hashes, np.full_like(hashes, salt)), start) for salt in (_SALT, ~_SALT)]
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), start)
             length = sizes - (sizes * percent + 99) // 100 + 1
-            used = (place < length[at]) & (rank > 0) & (sizes[at] >= 4)
+            used = (place < length[at]) & (rank > 0) & (sizes[at] * (100 - percent) >= percent)
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat(used.astype(np.int32), start))])
             skipped = np.add.reduceat((rank == 0).astype(np.int32), start).astype(np.int32)
             tokens = (hashes[used] >> np.uint64(32)).astype(np.uint32).view(np.int32)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from newslens.llm import line_dedup, queries
 
 
@@ -19,15 +21,15 @@ def brute_force(rows, percent=80):
     return removed
 
 
-def check(spark, rows):
+def check(spark, rows, percent=80):
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, line int, place string")
-    want = brute_force(rows)
-    got = line_dedup.line_decisions(frame).collect()
+    want = brute_force(rows, percent)
+    got = line_dedup.line_decisions(frame, percent=percent).collect()
     assert sorted((str(r.doc_id), r.removed) for r in got) == sorted((str(d), want.get(d, [])) for d, _ in rows)
     for r in got:
         text = dict(rows)[r.doc_id] or ""
         assert r.n_removed == len(r.removed) and r.n_lines == sum(bool(x.split()) for x in text.encode().split(b"\n"))
-    kept = {r.doc_id: r.text for r in line_dedup.remove_lines(frame).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.remove_lines(frame, percent=percent).collect()}
     for d, text in rows:
         if text is not None:
             assert kept[d] == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in want.get(d, []))
@@ -49,6 +51,19 @@ def test_random_edits(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("percent", [60, 70, 90])
+def test_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 9))] for _ in range(25)]
+    rows = [(1, "x1 x2 x3\nx1 x2 x3 x4\nalpha beta\nalpha beta gamma")]
+    for d in range(2, 60):
+        words = list(rng.choice(base))
+        if rng.random() < 0.7:
+            words[rng.randrange(len(words))] = f"w{rng.randrange(80)}"
+        rows.append((d, " ".join(words + ["more"] * rng.randrange(2))))
+    check(spark, rows, percent)
+
+
 def test_edge_cases(spark):
     same = "this line comes again and again in all texts"
     rows = [(5, same), (3, same + " x"), (None, "y " + same), (4, None), (6, ""), (7, " \n\t\n\n"), (8, f"{same}\n{same}\n\nother"),
