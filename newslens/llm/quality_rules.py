@@ -207,11 +207,14 @@ def verdicts(docs, min_group=MIN_GROUP, **columns):
 
 
 def keep_good(docs, min_group=MIN_GROUP):
-    """The rows of `docs` (doc_id, text, lang, source, ...) whose verdict is `kept`."""
+    """The rows of `docs` (doc_id, text, lang, source, ...) whose verdict is `kept`.
+
+    Other columns, whatever their names, stay as they are.
+    """
     good = verdicts(docs, min_group).where("kept").select(
         F.col("doc_id").alias("good_id"), F.col("row_hash").alias("good_hash")
     ).distinct()
     return docs.join(
-        good, F.col("doc_id").eqNullSafe(F.col("good_id")) & (row_hash() == F.col("good_hash")),
+        good, docs["doc_id"].eqNullSafe(good["good_id"]) & (row_hash() == good["good_hash"]),
         "left_semi",
     )

@@ -201,10 +201,16 @@ def keep_one(docs):
     """The rows of `docs` (doc_id, text, ...) that come first, by doc_id, in their component.
 
     Rows repeated in full are one document, of which one row stays; rows that share an id are
-    told apart by their texts.
+    told apart by their texts. Other columns, whatever their names, stay as they are.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
     found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.withColumn("_key", key).join(keep(first, "simhash-first"), F.col("_key") == F.col("first"), "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    first = keep(first, "simhash-first")
+    # A name that no column has, in any case.
+    name = "_key"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    keyed = docs.withColumn(name, key)
+    kept = keyed.join(first, keyed[name] == first["first"], "left_semi")
+    return kept.dropDuplicates([name]).drop(name)

@@ -68,3 +68,12 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_query(spark):
     assert query_rows(spark, "op1_quality_rules") == sql_rows("op1_quality_rules")
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "good words of a text that is long enough to pass all of the fixed rules as it has over twenty of them"
+    frame = spark.createDataFrame(
+        [(1, text, "en", "s", 7, 8, 9), (2, "short", "en", "s", 7, 8, 9)],
+        "doc_id long, text string, lang string, source string, good_id int, good_hash int, kept int",
+    )
+    assert [tuple(r) for r in quality_rules.keep_good(frame).collect()] == [(1, text, "en", "s", 7, 8, 9)]

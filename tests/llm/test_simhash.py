@@ -101,3 +101,11 @@ def test_query(spark):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {
         (i, f"{prints[i]:016x}", want[i]) for i in prints
     }
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "the same words in both of them"
+    frame = spark.createDataFrame(
+        [(1, text, 5, 6, 7), (2, text, 5, 6, 7)], "doc_id long, text string, first int, _key int, __KEY int"
+    )
+    assert [tuple(r) for r in simhash.keep_one(frame).collect()] == [(1, text, 5, 6, 7)]
