@@ -19,21 +19,29 @@ PERCENT = 80
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
-def _shingles(text, size=SHINGLE):
-    """Array of the different shingles of a text. Fewer words than a shingle: all of them, as one."""
-    tokens = F.array_remove(
+def _tokens(text):
+    return F.array_remove(
         F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD, " "), " "), ""
     )
 
+
+def _shingles(text, size=SHINGLE, short=()):
+    """Array of the shingles of a text. Fewer words than a shingle: all of them, as one.
+
+    `short` are further lengths of word runs that count as shingles too.
+    """
+
+    def runs(w, n):
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, found)
+
     def grams(w):
-        runs = F.transform(
-            F.sequence(F.lit(1), F.size(w) - (size - 1)),
-            lambda i: F.array_join(F.slice(w, i, size), " "),
-        )
-        short = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array())
-        return F.when(F.size(w) >= size, runs).otherwise(short)
+        whole = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array())
+        found = F.coalesce(runs(w, size), whole)
+        more = [F.coalesce(runs(w, n), F.array().cast("array<string>")) for n in short]
+        return F.concat(found, *more) if more else found
 
-    return let(tokens, grams)
+    return let(_tokens(text), grams)
 
 
 def size_class(n):
@@ -60,12 +68,16 @@ def find_leaks(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id",
     """(doc_id, text_hash, item_id, n_shingles, n_found) for each item that a document holds.
 
     Shingles are five words, lower-cased, punctuation and spacing ignored; an item is held if the
-    document has at least `percent` % of its different shingles. A text of fewer words is one
-    shingle, and matches only a text of the same words. NULL and empty texts hold nothing and are
+    document has at least `percent` % of its different shingles. An item of fewer words is one
+    shingle, and held by documents with these words in a row. NULL and empty texts hold nothing and are
     held by nothing. Rows that share a doc_id are judged each by its own text, rows repeated in
     full together; a NULL doc_id is a value like others. Items that repeat an item_id count as one
     with all their shingles. Empty tables give no rows.
     """
+    # At most the lengths one to four.
+    n_words = F.size(_tokens(F.col(item_text)))
+    lengths = benchmark.select(n_words.alias("n")).where(F.col("n").between(1, SHINGLE - 1)).distinct()
+    short = sorted(row.n for row in lengths.collect())
     items = benchmark.select(
         F.col(item_id).alias("item_id"), F.explode(_shingles(F.col(item_text))).alias("shingle")
     ).distinct()
@@ -77,14 +89,15 @@ def find_leaks(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id",
     index = keep(signatures(items, percent), "leak-index")
     # A struct compares its fields, NULL with NULL too.
     rows = docs.select(row_key(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
-    hashes = F.array_distinct(F.transform(_shingles(F.col("text")), lambda s: F.xxhash64(s)))
+    in_docs = _shingles(F.col("text"), short=short)
+    hashes = F.array_distinct(F.transform(in_docs, lambda s: F.xxhash64(s)))
     hashed = rows.select("row", F.explode(hashes).alias("hash"))
     largest = index.agg(F.max("hash")).first()[0]
     if largest is not None:
         hashed = hashed.where(F.col("hash") <= largest)
     candidates = keep(hashed.join(index, "hash").select("row", "item_id").distinct(), "leak-candidates")
     suspects = rows.join(candidates.select("row").distinct(), "row", "left_semi")
-    shingles = suspects.select("row", F.explode(F.array_distinct(_shingles(F.col("text")))).alias("shingle"))
+    shingles = suspects.select("row", F.explode(F.array_distinct(in_docs)).alias("shingle"))
     shared = shingles.distinct().join(items, "shingle").alias("s")
     of = candidates.alias("c")
     verified = shared.join(

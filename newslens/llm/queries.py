@@ -239,7 +239,11 @@ s AS (
   SELECT kind, id, unnest(CASE WHEN len(w) >= 5
       THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
-docs AS (SELECT DISTINCT id AS doc_id, shingle FROM s WHERE kind = 'd'),
+short AS (SELECT DISTINCT len(w) AS n FROM w WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4),
+docs AS (
+  SELECT id AS doc_id, shingle FROM s WHERE kind = 'd'
+  UNION SELECT id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' ')))
+  FROM w JOIN short ON kind = 'd' AND len(w) >= n),
 items AS (SELECT DISTINCT id AS item_id, shingle FROM s WHERE kind = 'i'),
 sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
 SELECT doc_id, items.item_id, n AS n_shingles, count(*) AS n_found
