@@ -1,6 +1,7 @@
 """WARC packages: round trips, ZIP64 directories, archives without an index."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -93,3 +94,15 @@ def test_archive_without_index_and_other_members():
 
 def test_query(spark):
     assert query_rows(spark, "op4_warc_packages") == sql_rows("op4_warc_packages")
+
+
+def test_packages_are_read_in_as_many_tasks_as_their_bytes_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(web_archives, "RANGE_BYTES", 2000)
+    rows = [(i, f"http://h/{i}", "".join(random.Random(i).choices("abcdefgh ", k=400))) for i in range(90)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "packages")
+    web_archives.write_packages(frame, path)
+    total = sum(f.stat().st_size for f in (tmp_path / "packages").rglob("*") if f.is_file() and f.name[0] not in "._")
+    found = web_archives.read_packages(spark, path)
+    tasks = found.selectExpr("spark_partition_id() AS task").distinct().count()
+    assert found.count() == 90 and tasks >= total / 2000 > 5
