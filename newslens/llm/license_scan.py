@@ -1,15 +1,20 @@
 """Licence notices by a trained paragraph classifier, confirmed by comparison with templates."""
 
 import math
+import re
 from collections import Counter
+from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
+from newslens.llm.grams import run_hashes, word_hashes
 from newslens.llm.tables import keep, let
 
 # Wording of licence notices, by family.
@@ -84,7 +89,10 @@ NO_LICENCE = [
 ]
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
-BUCKETS = 1 << 14
+# Sequences of one, two and three words are features, hashed to so many buckets for each length.
+LENGTHS = (1, 2, 3)
+BUCKET_BITS = 13
+BUCKETS = 1 << BUCKET_BITS
 # Bounds of the labelled sample: paragraphs of the corpus that stand for no licence.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_ROWS = 3000
@@ -97,6 +105,18 @@ LEAST_PROBABILITY = 0.5
 LEAST_SIMILARITY = 0.6
 LEAST_PAIRS = 8
 TEMPERATURES = [0.05 * 1.15**k for k in range(40)]
+# Words whose lines are scored together, if no line is longer; windows scored in one step.
+CHUNK_WORDS = 1 << 16
+CHUNK_WINDOWS = 256
+WORD = re.compile(r"[^\W_]+")
+
+
+class Model(NamedTuple):
+    """Weights (bucket, family), a constant per family, and the temperature of the probabilities."""
+
+    weights: np.ndarray
+    constants: np.ndarray
+    temperature: float
 
 
 def _tokens(text):
@@ -105,22 +125,27 @@ def _tokens(text):
 
 
 def windows(docs, doc_id="doc_id", text="text"):
-    """(row, paragraph, part, more, words): paragraphs are lines; long ones come in windows.
-
-    `more` tells that the paragraph has words after the window.
-    """
-    named = docs.select(
-        F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")).alias("row"),
-        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("paragraph", "line"),
-    )
-    words = named.select("row", "paragraph", _tokens(F.col("line")).alias("all"))
+    """(words) of each window: paragraphs are lines; long ones come in windows."""
+    named = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line"))
+    words = named.select(_tokens(F.col("line")).alias("all"))
     starts = F.sequence(
         F.lit(0), F.greatest(F.size("all") - (WINDOW_WORDS - WINDOW_STEP), F.lit(0)), F.lit(WINDOW_STEP)
     )
-    parts = words.where(F.size("all") > 0).select("row", "paragraph", "all", F.posexplode(starts).alias("part", "start"))
-    return parts.select(
-        "row", "paragraph", "part", (F.size("all") > F.col("start") + WINDOW_WORDS).alias("more"), F.slice("all", F.col("start") + 1, WINDOW_WORDS).alias("words")
-    )
+    parts = words.where(F.size("all") > 0).select("all", F.explode(starts).alias("start"))
+    return parts.select(F.slice("all", F.col("start") + 1, WINDOW_WORDS).alias("words"))
+
+
+def _buckets(hashes, length):
+    """Bucket of each run of `length` words."""
+    return (run_hashes(hashes, length) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+
+
+def features(words):
+    """Binary vector of the buckets that the words' sequences fall into."""
+    hashes = word_hashes(words)
+    held = [np.unique(_buckets(hashes, n)).astype(np.int64) + k * BUCKETS for k, n in enumerate(LENGTHS)]
+    held = np.concatenate(held)
+    return SparseVector(len(LENGTHS) * BUCKETS, held, np.ones(len(held)))
 
 
 def _labelled(spark, negatives):
@@ -135,7 +160,8 @@ def _labelled(spark, negatives):
                 around = fillers[(label * 7 + n * 3) % len(fillers)]
                 rows += [(label, cut), (label, around[:8] + cut), (label, cut + around[:8]), (label, around[:12] + cut + around[-12:])]
     rows += [(0, words) for words in negatives]
-    return spark.createDataFrame([(float(a), b, i) for i, (a, b) in enumerate(rows)], "label double, words array<string>, n long")
+    kind = StructType().add("label", DoubleType()).add("features", VectorUDT()).add("n", LongType())
+    return spark.createDataFrame([(float(a), features(b), i) for i, (a, b) in enumerate(rows)], kind)
 
 
 def template_tokens(text):
@@ -143,19 +169,8 @@ def template_tokens(text):
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-def _features():
-    """Binary counts of hashed one-, two- and three-word sequences."""
-    stages, names = [], []
-    for n in (1, 2, 3):
-        grams = f"grams{n}"
-        stages.append(NGram(n=n, inputCol="words", outputCol=grams))
-        names.append(f"hashed{n}")
-        stages.append(HashingTF(numFeatures=BUCKETS // 2, binary=True, inputCol=grams, outputCol=names[-1]))
-    return [*stages, VectorAssembler(inputCols=names, outputCol="features")]
-
-
 def train(docs, sample_rows=SAMPLE_ROWS):
-    """(model, temperature): fitted on templates and `sample_rows` windows of the corpus at most.
+    """Model: fitted on templates and `sample_rows` windows of the corpus at most.
 
     The sample is windows of the documents with the smallest text hashes. Those that hold half of a template's word
     pairs are left out, as they may be licences. A quarter of the labelled rows is kept aside, on
@@ -170,14 +185,13 @@ def train(docs, sample_rows=SAMPLE_ROWS):
     negatives = [r.words for r in sample.where("similarity < 0.5").orderBy("h", "words").collect()]
     rows = keep(_labelled(spark, negatives).coalesce(2), "license-training")
     held_out = F.pmod(F.xxhash64("n"), F.lit(4)) == 0
-    regression = LogisticRegression(family="multinomial", maxIter=30, regParam=1e-4)
-    model = Pipeline(stages=[*_features(), regression]).fit(rows.where(~held_out))
-    seen = model.transform(rows.where(held_out)).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
+    fitted = LogisticRegression(family="multinomial", maxIter=30, regParam=1e-4).fit(rows.where(~held_out))
+    seen = fitted.transform(rows.where(held_out)).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
 
     def loss(t):
         return sum(math.log(sum(math.exp(min(700, (x - r.raw[int(r.label)]) / t)) for x in r.raw)) for r in seen)
 
-    return model, min(TEMPERATURES, key=loss)
+    return Model(fitted.coefficientMatrix.toArray().T, fitted.interceptVector.toArray(), min(TEMPERATURES, key=loss))
 
 
 def _pairs(words):
@@ -239,6 +253,65 @@ def notices(words, part, more, chances):
             found[family] = (similarity, label)
 
 
+def _raw_scores(lines, model):
+    """(line, part, score by family) of the windows of lists of words.
+
+    Each word is hashed once. A sequence counts in a window if its bucket does not occur earlier in it.
+    """
+    sizes = np.array([len(words) for words in lines])
+    ends = np.cumsum(sizes)
+    counts = np.maximum(sizes - (WINDOW_WORDS - WINDOW_STEP), 0) // WINDOW_STEP + 1
+    line = np.repeat(np.arange(len(lines)), counts)
+    part = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = (ends - sizes)[line] + WINDOW_STEP * part
+    end = np.minimum(start + WINDOW_WORDS, ends[line])
+    hashes = word_hashes(list(chain.from_iterable(lines)))
+    scores = np.tile(model.constants, (len(line), 1))
+    for k, n in enumerate(LENGTHS):
+        bucket = _buckets(hashes, n)
+        if not len(bucket):
+            continue
+        order = np.argsort(bucket, kind="stable")
+        before = np.full(len(bucket), -1)
+        same = bucket[order[1:]] == bucket[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        # The last row is that of a sequence that does not count.
+        weights = np.vstack([model.weights[k * BUCKETS : (k + 1) * BUCKETS], np.zeros(len(FAMILIES))])
+        for low in range(0, len(line), CHUNK_WINDOWS):
+            first, last = start[low : low + CHUNK_WINDOWS, None], end[low : low + CHUNK_WINDOWS, None]
+            at = first + np.arange((last - first).max())
+            counted = at + n <= last
+            at = np.where(counted, at, 0)
+            counted &= before[at] < first
+            scores[low : low + CHUNK_WINDOWS] += weights[np.where(counted, bucket[at], BUCKETS)].sum(axis=1)
+    return line, part, scores
+
+
+def likely_windows(lines, model):
+    """(line, part, probability by family) of the windows that are more likely a licence than none."""
+    line, part, scores = _raw_scores(lines, model)
+    scores = np.exp((scores - scores.max(axis=1, keepdims=True)) / model.temperature)
+    chances = scores / scores.sum(axis=1, keepdims=True)
+    for i in np.nonzero(chances[:, FAMILIES.index(UNKNOWN)] <= 1 - LEAST_PROBABILITY)[0]:
+        yield int(line[i]), int(part[i]), chances[i].tolist()
+
+
+def _chunks(texts):
+    """Lists of (row, paragraph, words) for the lines with a word of an Arrow array of texts."""
+    chunk, total = [], 0
+    for row, text in enumerate(texts):
+        for paragraph, line in enumerate((text.as_py() or "").lower().split("\n")):
+            words = WORD.findall(line)
+            if words:
+                chunk.append((row, paragraph, words))
+                total += len(words)
+            if total >= CHUNK_WORDS:
+                yield chunk
+                chunk, total = [], 0
+    if chunk:
+        yield chunk
+
+
 def scan(docs, doc_id="doc_id", text="text", model=None):
     """(doc_id, paragraph, family, probability, similarity, template) of each licence notice.
 
@@ -250,32 +323,32 @@ def scan(docs, doc_id="doc_id", text="text", model=None):
     NULL, empty and blank texts have no paragraphs. Rows that share an id are scanned each for
     itself, rows repeated in full give equal results once each. An empty table gives no rows.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fitted, temperature = model or train(named)
-    scores = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x / temperature))
-    chances = let(scores, lambda s: F.transform(s, lambda x: x / F.aggregate(s, F.lit(0.0), lambda a, y: a + y)))
-    scored = fitted.transform(windows(named)).select("row", "paragraph", "part", "more", "words", chances.alias("chances"))
-    likely = scored.where(F.col("chances")[FAMILIES.index(UNKNOWN)] <= 1 - LEAST_PROBABILITY)
-    likely = likely.select("row.doc_id", "row.text_hash", "paragraph", "part", "more", "words", "chances")
-    kind = likely.schema["doc_id"].dataType.simpleString()
+    named = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")
+    )
+    model = model or train(named)
+    kind = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows, out = [], []
-            for n, (part, more, words, each) in enumerate(zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)):
-                by_family = {f: c for f, c in zip(FAMILIES, each, strict=True) if f != UNKNOWN}
-                for family, similarity, template in notices(words, part, more, by_family):
-                    rows.append(n)
-                    out.append((family, by_family[family], similarity, template))
+            for chunk in _chunks(batch.column(2)):
+                for line, part, each in likely_windows([words for _, _, words in chunk], model):
+                    row, paragraph, words = chunk[line]
+                    first, last = part * WINDOW_STEP, part * WINDOW_STEP + WINDOW_WORDS
+                    by_family = {f: c for f, c in zip(FAMILIES, each, strict=True) if f != UNKNOWN}
+                    for family, similarity, template in notices(words[first:last], part, len(words) > last, by_family):
+                        rows.append(row)
+                        out.append((paragraph, family, by_family[family], similarity, template))
             take = pa.array(rows, pa.int64())
-            columns = zip(*out, strict=True) if out else [()] * 4
-            kinds = (pa.string(), pa.float64(), pa.float64(), pa.string())
+            columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n).take(take) for n in range(3)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                [batch.column(n).take(take) for n in range(2)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc_id", "text_hash", "paragraph", "family", "probability", "similarity", "template"],
             )
 
-    found = likely.mapInArrow(
+    found = named.mapInArrow(
         run, f"doc_id {kind}, text_hash long, paragraph int, family string, probability double, similarity double, template string"
     )
     best = F.max(F.struct("probability", "similarity", "template")).alias("m")
