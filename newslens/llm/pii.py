@@ -11,22 +11,33 @@ from pyspark.sql import functions as F
 
 from newslens.llm.tables import keep, let
 
-KEY = "newslens"
-
-# Given names by gender and script, titles, alphabets, and syllables of surnames.
+# Given names by script and gender (men's, women's), titles by gender, alphabets, and
+# syllables of surnames.
 GIVEN_NAMES = [
     "James John Robert Michael William David Thomas Daniel Paul Peter Hans Jürgen Pierre Carlos".split(),
     "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Julia Laura Ursula Sabine Claire Carmen".split(),
     "Иван Пётр Алексей Дмитрий Сергей Николай Михаил Андрей".split(),
     "Анна Мария Ольга Елена Наталья Ирина Татьяна Светлана".split(),
+    "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης Βασίλης Χρήστος".split(),
+    "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική Ιωάννα Δήμητρα".split(),
+]
+MEN, WOMEN = "Mr Herr Monsieur Señor Господин Κύριος".split(), "Mrs Ms Miss Frau Madame Mme Señora Госпожа Κυρία".split()
+TITLES = [*MEN, *WOMEN, "Dr"]
+# In capitals, these are words or units as often as titles.
+NOT_IN_CAPITALS = ["Ms", "Miss", "Mme", "Dr"]
+CAPITAL_TITLES = [t.upper() for t in TITLES if t not in NOT_IN_CAPITALS]
+# By script, in the order of the given names: pattern, alphabet, syllables.
+SCRIPTS = [
+    (r"\p{IsLatin}", "abcdefghijklmnopqrstuvwxyz",
+     "bar del fen gor hal jun kes lim mor nav pol rit sol tav vin wes".split()),
+    (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя",
+     "бар дел фен гор хал жун кес лим мор нав пол рит сол тав вин зес".split()),
+    (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω",
+     "βαρ δελ φεν γορ χαλ ζυν κες λιμ μορ ναβ πολ ριτ σολ ταβ βιν ξες".split()),
 ]
-TITLES = "Mr Mrs Ms Miss Dr Herr Frau Monsieur Madame Mme Señor Señora Господин Госпожа".split()
-LATIN = "abcdefghijklmnopqrstuvwxyz"
-CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
-LATIN_SYLLABLES = "bar del fen gor hal jun kes lim mor nav pol rit sol tav vin wes".split()
-CYRILLIC_SYLLABLES = "бар дел фен гор хал жун кес лим мор нав пол рит сол тав вин зес".split()
 
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_CAPITALS = r"\p{Lu}{2,}(?:-\p{Lu}{2,})?"
 _GIVEN = "|".join(name for names in GIVEN_NAMES for name in names)
 # Patterns start behind anything but a letter or digit, and fail on the first character if they can.
 KINDS = {
@@ -39,7 +50,8 @@ KINDS = {
     ),
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "name": (
-        rf"(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD})"
+        rf"(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? (?:{_WORD} )?{_WORD}|(?:{_GIVEN}) {_WORD}"
+        rf"|(?:{'|'.join(CAPITAL_TITLES)})\.? (?:{_CAPITALS} )?{_CAPITALS})"
         r"(?![\p{L}\p{N}])"
     ),
 }
@@ -80,8 +92,8 @@ def _interleave(pieces, fillings):
     )
 
 
-def _hex(kind, entity, turn):
-    return F.sha2(F.concat_ws("\u001f", F.lit(KEY), kind, entity, turn.cast("string")), 512)
+def _hex(kind, entity, turn, key):
+    return F.sha2(F.concat_ws("\u001f", F.lit(key), kind, entity, turn.cast("string")), 512)
 
 
 def _number(digest, i, below):
@@ -101,14 +113,24 @@ def _pick(text, number):
     return F.substr(F.lit(text), number + 1, F.lit(1))
 
 
+def _by_script(value, use):
+    """`use(n)` for the first script, by number, with a letter in `value`; Latin if there is none."""
+    others = range(1, len(SCRIPTS))
+    return reduce(lambda other, n: F.when(value.rlike(SCRIPTS[n][0]), use(n)).otherwise(other), others, use(0))
+
+
 def _same_shape(value, digest):
-    """Letters become keyed letters of their script, digits keyed digits; the rest stays."""
+    """Letters become keyed letters of their script (those of none in SCRIPTS Latin ones), digits
+    keyed digits; the rest stays."""
+
+    def letter(x):
+        return _by_script(x["c"], lambda n: _pick(SCRIPTS[n][1], _number(digest, x["i"], len(SCRIPTS[n][1]))))
+
     return F.array_join(
         F.transform(
             _chars(value),
             lambda x: F.when(x["c"].rlike("[0-9]"), _number(digest, x["i"], 10).cast("string"))
-            .when(x["c"].rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, _number(digest, x["i"], len(CYRILLIC))))
-            .when(x["c"].rlike(r"\p{L}"), _pick(LATIN, _number(digest, x["i"], len(LATIN))))
+            .when(x["c"].rlike(r"\p{L}"), letter(x))
             .otherwise(x["c"]),
         ),
         "",
@@ -139,7 +161,7 @@ def _digits(entity, digest, kind):
     return F.when(kind == "card", let(drawn, card)).otherwise(drawn)
 
 
-def surrogate_entity(kind, entity, turn):
+def surrogate_entity(kind, entity, turn, key):
     """What replaces an entity, in the normal form of entities. `turn` selects another one."""
 
     def made(digest):
@@ -168,37 +190,45 @@ def surrogate_entity(kind, entity, turn):
             )
             .when(kind.isin(_DIGIT_KINDS), _digits(entity, digest, kind))
             .when(kind == "secret", F.substr(digest, F.lit(1), F.length(entity)))
-            .when(entity.rlike(r"\p{IsCyrillic}"), surname(CYRILLIC_SYLLABLES))
-            .otherwise(surname(LATIN_SYLLABLES))
+            .otherwise(_by_script(entity, lambda n: surname(SCRIPTS[n][2])))
         )
 
-    return let(_hex(kind, entity, turn), made)
+    return let(_hex(kind, entity, turn, key), made)
+
+
+def _other_given_name(word, title, key):
+    """A listed name becomes the one some places on in the list of its script and gender; another
+    one a name of its script and the title's gender, or a made name if the title tells none."""
+    listed = [F.array(*map(F.lit, names)) for names in GIVEN_NAMES]
+    number = F.pmod(F.xxhash64(F.lit(key), F.lower(word)), F.lit(1 << 30))
 
+    def drawn(gender):
+        return _by_script(word, lambda n: F.element_at(
+            listed[2 * n + gender], (number % len(GIVEN_NAMES[2 * n + gender]) + 1).cast("int")))
 
-def _other_given_name(word):
-    """The name some places on in the list of the same gender and script; other words unchanged."""
-    result = word
+    result = F.when(title.isin([*MEN, *map(str.upper, MEN)]), drawn(0)).when(
+        title.isin([*WOMEN, *map(str.upper, WOMEN)]), drawn(1)).otherwise(
+        F.initcap(surrogate_entity(F.lit("name"), F.lower(word), F.lit(0), key)))
     for n, names in enumerate(GIVEN_NAMES):
-        step = F.pmod(F.xxhash64(F.lit(KEY), F.lit(n)), F.lit(len(names) - 1)) + 1
-        listed = F.array(*map(F.lit, names))
-        at = F.array_position(listed, word)
-        moved = F.element_at(listed, (F.pmod(at - 1 + step, F.lit(len(names))) + 1).cast("int"))
-        result = F.when(word.isin(names), moved).otherwise(result)
+        step = F.pmod(F.xxhash64(F.lit(key), F.lit(n)), F.lit(len(names) - 1)) + 1
+        at = F.array_position(listed[n], F.initcap(word))
+        moved = F.element_at(listed[n], (F.pmod(at - 1 + step, F.lit(len(names))) + 1).cast("int"))
+        result = F.when(F.initcap(word).isin(names), moved).otherwise(result)
     return result
 
 
-def _replacement(m, turn):
+def _replacement(m, turn, key):
     """The surrogate in the form of the mention: its punctuation, letter case and titles."""
     raw, kind = m["raw"], m["kind"]
 
     def shaped(made):
         digits = _interleave(F.split(raw, r"\d", -1), F.split(F.replace(made, F.lit(":"), F.lit("")), ""))
         before = F.split(raw, " ")
+        title = F.regexp_replace(before[0], r"\.", "")
         first = F.transform(F.slice(before, 1, F.size(before) - 1), lambda w: F.when(
-            F.regexp_replace(w, r"\.", "").isin(TITLES), w).when(
-            w.isin([n for names in GIVEN_NAMES for n in names]), _other_given_name(w)).otherwise(
-            F.initcap(surrogate_entity(F.lit("name"), F.lower(w), F.lit(0)))))
+            F.regexp_replace(w, r"\.", "").isin([*TITLES, *CAPITAL_TITLES]), w).otherwise(_other_given_name(w, title, key)))
         name = F.array_join(F.concat(first, F.array(F.initcap(made))), " ")
+        name = F.when(raw == F.upper(raw), F.upper(name)).otherwise(name)
         return (
             F.when(kind.isin(_DIGIT_KINDS), digits)
             .when(kind == "name", name)
@@ -206,10 +236,10 @@ def _replacement(m, turn):
             .otherwise(made)
         )
 
-    return let(surrogate_entity(kind, m["entity"], turn), shaped)
+    return let(surrogate_entity(kind, m["entity"], turn, key), shaped)
 
 
-def later_turns(entities):
+def later_turns(entities, key):
     """(kind, entity, turn) of the entities whose first surrogate is another's, or an entity itself.
 
     Of those that share a surrogate the smallest keeps it; the others take their next one, until
@@ -218,7 +248,7 @@ def later_turns(entities):
     entities = keep(entities.select("kind", "entity").distinct(), "pii-entities")
     turn = F.lit(0)
     made = keep(
-        entities.select("kind", "entity", turn.alias("turn"), surrogate_entity(F.col("kind"), F.col("entity"), turn).alias("made")),
+        entities.select("kind", "entity", turn.alias("turn"), surrogate_entity(F.col("kind"), F.col("entity"), turn, key).alias("made")),
         "pii-surrogates",
     )
     known = entities.select("kind", F.col("entity").alias("made"))
@@ -233,18 +263,19 @@ def later_turns(entities):
         moved = made.join(moving, ["kind", "entity"], "left_semi")
         stay = made.join(moving, ["kind", "entity"], "left_anti")
         turn = F.col("turn") + 1
-        moved = moved.select("kind", "entity", turn.alias("turn"), surrogate_entity(F.col("kind"), F.col("entity"), turn).alias("made"))
+        moved = moved.select("kind", "entity", turn.alias("turn"), surrogate_entity(F.col("kind"), F.col("entity"), turn, key).alias("made"))
         made = keep(stay.unionByName(moved), "pii-surrogates")
 
 
-def replace_entities(docs, doc_id="doc_id", text="text"):
+def replace_entities(docs, key, doc_id="doc_id", text="text"):
     """(doc_id, text, n_replaced) for each row, personal data replaced by surrogates.
 
     E-mail and IP addresses, phone, card and person numbers, secrets (long hexadecimal strings)
-    and names (after a title, or a known given name with a surname). Mentions of an entity get
+    and names (after a title, also in capitals, or a known given name with a surname). `key`, a
+    secret string, decides all surrogates: those of two keys have nothing in common. Mentions of an entity get
     the same surrogate in all rows, different entities different ones, and no surrogate is an
     entity of the table. Layout, letter case, script, titles and country codes stay; given names keep
-    their gender, valid card numbers stay valid. Other text is untouched. NULL texts stay NULL and empty ones
+    their gender, or take that of the title, valid card numbers stay valid. Other text is untouched. NULL texts stay NULL and empty ones
     empty. Each row comes back once, repeated rows and ids too.
     """
     named = docs.select(
@@ -253,7 +284,7 @@ def replace_entities(docs, doc_id="doc_id", text="text"):
     )
     found = named.select("row", F.explode(mentions(F.col("text"))).alias("m")).select("row", "m.kind", "m.entity")
     found = keep(found.distinct(), "pii-mentions")
-    turns = keep(later_turns(found), "pii-turns")
+    turns = keep(later_turns(found, key), "pii-turns")
     # Documents with an entity whose first surrogate was taken: few rows, and a written table.
     special = found.join(turns, ["kind", "entity"]).groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "entity"), "turn"))).alias("turns")
@@ -266,7 +297,7 @@ def replace_entities(docs, doc_id="doc_id", text="text"):
             return F.coalesce(F.try_element_at("turns", F.concat_ws(":", m["kind"], m["entity"])), F.lit(0))
 
         pieces = F.split("text", ENTITY, -1)
-        replaced = _interleave(pieces, F.transform(found, lambda m: _replacement(m, turn(m))))
+        replaced = _interleave(pieces, F.transform(found, lambda m: _replacement(m, turn(m), key)))
         return F.struct(
             F.when(F.size(found) > 0, replaced).otherwise(F.col("text")).alias("text"),
             F.coalesce(F.size(found), F.lit(0)).alias("n_replaced"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newslens.llm import pii, queries
 
+KEY = "a key"
 SCHEMA = "doc_id long, text string, row string, kind string"
 # Written independently of the operator's patterns.
 PLANTED = {
@@ -16,7 +17,7 @@ PLANTED = {
 
 def replaced(spark, texts):
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
-    rows = sorted(pii.replace_entities(frame).collect())
+    rows = sorted(pii.replace_entities(frame, KEY).collect())
     assert [r.doc_id for r in rows] == list(range(len(texts)))
     return [r.text for r in rows], [r.n_replaced for r in rows]
 
@@ -59,28 +60,51 @@ def test_formats(spark):
 def test_collisions_take_later_turns(spark):
     names = [f"n{i}x" for i in range(1500)]
     first = spark.createDataFrame([(n,) for n in names], "entity string")
-    made = pii.surrogate_entity(F.lit("name"), F.col("entity"), F.lit(0))
+    made = pii.surrogate_entity(F.lit("name"), F.col("entity"), F.lit(0), KEY)
     taken = first.select(made.alias("m")).first().m
     entities = first.union(spark.createDataFrame([(taken,)], "entity string")).select(F.lit("name").alias("kind"), "entity")
-    turns = {r.entity: r.turn for r in pii.later_turns(entities).collect()}
+    turns = {r.entity: r.turn for r in pii.later_turns(entities, KEY).collect()}
     assert turns[names[0]] >= 1
     rows = entities.collect()
     frame = spark.createDataFrame([(r.entity, turns.get(r.entity, 0)) for r in rows], "entity string, turn int")
-    final = [r.m for r in frame.select(pii.surrogate_entity(F.lit("name"), F.col("entity"), F.col("turn")).alias("m")).collect()]
+    final = [r.m for r in frame.select(pii.surrogate_entity(F.lit("name"), F.col("entity"), F.col("turn"), KEY).alias("m")).collect()]
     assert len(set(final)) == len(final) and not set(final) & {r.entity for r in rows}
 
 
 def test_taken_surrogates_in_texts(spark):
-    made = spark.range(1).select(pii.surrogate_entity(F.lit("name"), F.lit("smith"), F.lit(0)).alias("m")).first().m
+    made = spark.range(1).select(pii.surrogate_entity(F.lit("name"), F.lit("smith"), F.lit(0), KEY).alias("m")).first().m
     got, _ = replaced(spark, ["Mr Smith", f"Mr {made.capitalize()}", "Mrs Smith again", "Mrs Smith again"])
     assert got[0][3:] == got[2][4:-6] == got[3][4:-6]
     assert len({got[0], got[1], f"Mr {made.capitalize()}", "Mr Smith"}) == 4
 
 
+def test_scripts_and_gender(spark):
+    texts = [
+        "Mr Αλέξανδρος Παπαδόπουλος, Κυρία Παπαδόπουλος", "γιώργος@mail.example.gr", "Frau Anneliese Schmidt und Herr Kaspar Schmidt",
+        "MR SMITH met Mr Smith and MRS MARY SMITH", "MS OFFICE, DR NO", "Dr Anneliese Schmidt",
+    ]
+    got, counts = replaced(spark, texts)
+    assert counts == [2, 1, 2, 3, 0, 1] and got[4] == texts[4]
+    greek = re.fullmatch("Mr ([Ͱ-Ͽἀ-῿]+) ([Ͱ-Ͽἀ-῿]+), Κυρία ([Ͱ-Ͽἀ-῿]+)", got[0])
+    assert greek[1] in pii.GIVEN_NAMES[4] and greek[2] == greek[3] != "Παπαδόπουλος"
+    assert re.fullmatch(r"[α-ω]{7}@[a-z]{4}\.[a-z]{7}\.example", got[1])
+    woman, one, man, other = re.fullmatch(r"Frau (\w+) (\w+) und Herr (\w+) (\w+)", got[2]).groups()
+    assert woman in pii.GIVEN_NAMES[1] and man in pii.GIVEN_NAMES[0] and one == other != "Schmidt"
+    upper, lower, mary, again = re.fullmatch(r"MR (\w+) met Mr (\w+) and MRS (\w+) (\w+)", got[3]).groups()
+    assert upper == again == lower.upper() != "SMITH" and mary.capitalize() in pii.GIVEN_NAMES[1] and mary != "MARY"
+    assert got[5].split()[0] == "Dr" and not set(got[5].split()[1:]) & {"Anneliese", "Schmidt"}
+
+
+def test_another_key_gives_other_surrogates(spark):
+    frame = spark.createDataFrame([(1, "Mr Smith a.b@c.com 4111111111111111", "", "")], SCHEMA)
+    one, two = (pii.replace_entities(frame, k).first().text.split() for k in ("a", "b"))
+    assert one[0] == two[0] and all(x != y for x, y in zip(one[1:], two[1:], strict=True))
+
+
 def test_empty_table_and_long_text(spark):
     frame = spark.createDataFrame([(None, "a@b.com " * 20000, "", "")], SCHEMA)
-    assert pii.replace_entities(frame).first().n_replaced == 20000
-    assert pii.replace_entities(frame.limit(0)).count() == 0
+    assert pii.replace_entities(frame, KEY).first().n_replaced == 20000
+    assert pii.replace_entities(frame.limit(0), KEY).count() == 0
 
 
 def test_query(spark):
