@@ -66,3 +66,24 @@ def test_several_families_in_one_line(spark, model):
     want = {(1, "mit"), (1, "apache"), (2, "mit"), (2, "apache"), (3, "cc-by-sa"), (4, "mit")}
     assert {x for x in got if x[0] < 10} == want
     assert {f for i, f in got if i >= 10} == {"cc-by-sa"}
+
+
+def reworded(kind, words):
+    """The words with each tenth dropped, each eighth replaced, or a word put in behind each sixth."""
+    if kind == "dropped":
+        return [w for i, w in enumerate(words, 1) if i % 10]
+    if kind == "replaced":
+        return [w if i % 8 else "whatever" for i, w in enumerate(words, 1)]
+    return [x for i, w in enumerate(words, 1) for x in ([w] if i % 6 else [w, "indeed"])]
+
+
+@pytest.mark.parametrize("kind,least", [("dropped", 0.9), ("replaced", 0.9), ("inserted", 0.9)])
+def test_recall_on_reworded_notices(spark, model, kind, least):
+    filler = lambda c: [f"{c}{i}" for i in range(50)]
+    notices = [(f, t.split()) for f, texts in license_scan.TEMPLATES.items() for t in texts]
+    rows = [(n, " ".join([*filler("a"), *reworded(kind, words), *filler("b")])) for n, (_, words) in enumerate(notices)]
+    rows += [(1000 + n, " ".join(filler(c))) for n, c in enumerate("abcdefgh")]
+    got = {(r.doc_id, r.family) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    found = [(n, f) in got for n, (f, _) in enumerate(notices)]
+    assert not any(i >= 1000 for i, _ in got)
+    assert sum(found) >= least * len(found)
