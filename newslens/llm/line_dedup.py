@@ -15,6 +15,8 @@ PERCENT = 80
 SLOTS = 1 << 22
 # Bits of the table of lines whose words a check needs; a multiple of 2^15.
 BITS = 1 << 27
+# Sets per prefix word that stand for their near copies.
+HEADS = 4
 # Bytes of text that a task takes apart at a time.
 CHUNK_BYTES = 2 << 20
 _SALT = np.uint64(0x27D4EB2F165667C5)
@@ -184,21 +186,46 @@ def _pairs(x, y, percent):
     return x.alias("a").join(y.alias("b"), rule).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"))
 
 
+def _led(rows, percent):
+    """Prefix rows with `head`, the set that stands for the row's near copies among those of its word.
+
+    A word's first head is its first set, the next one the first set that is near no head so far,
+    up to HEADS. `head` is NULL for rows that are near none, and for the heads; `first` tells the
+    first of them. All windows have one order, so rows are shuffled and sorted once, and stream; no
+    group is held.
+    """
+    order = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    compared = ("n", "pos", "bits")
+    led = rows.select("*", F.lit(None).cast("long").alias("head"), F.lit(False).alias("first"), F.lit(True).alias("free"))
+    for turn in range(HEADS):
+        # Plain columns in the first turn: what is made of them would be made before the shuffle, and
+        # the rows shuffled twice as wide.
+        led = led.select("*", *(
+            (F.first(F.when(F.col("free"), F.col(c)), ignorenulls=True) if turn else F.first(c)).over(order).alias(f"head_{c}")
+            for c in ("id", *compared)
+        ))
+        near = _similar_enough(*({c: F.col(f"{side}{c}") for c in compared} for side in ("", "head_")), percent)
+        leads = F.col("free") & (F.col("id") == F.col("head_id"))
+        follows = F.col("free") & (F.col("id") != F.col("head_id")) & near
+        led = led.select(
+            *rows.columns, F.when(follows, F.col("head_id")).otherwise(F.col("head")).alias("head"),
+            (leads if turn == 0 else F.col("first")).alias("first"), (F.col("free") & ~leads & ~follows).alias("free"),
+        )
+    return led
+
+
 def _candidates(sets, percent):
     """(later, earlier, likely) pairs of sets that may be similar.
 
-    Each prefix word has a head, the first set with it. A set that passes the filters against the
-    head is tried against it alone, so a great group of near copies costs a row each. The window
-    streams; it holds no group.
+    A set that passes the filters against a head of one of its prefix words is tried, for that word,
+    against the head alone, so a great group of near copies costs a row each. Sets that are near no
+    head, and the heads after the first, are tried against all earlier sets of the word.
     """
     rows = _prefix_rows(sets)
-    order = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    # Column by column: a struct would be built before the shuffle, and the rows shuffled twice as wide.
-    led = rows.select("*", *(F.first(c).over(order).alias(f"head_{c}") for c in ("id", "n", "pos", "bits")))
-    led = led.where(F.col("id") != F.col("head_id"))
-    likely = _similar_enough(*({c: F.col(f"{of}{c}") for c in ("n", "pos", "bits")} for of in ("", "head_")), percent)
-    near_head = led.where(likely).select(F.col("id").alias("later"), F.col("head_id").alias("earlier"), F.lit(1).alias("likely"))
-    others = _pairs(led.where(~likely).select(rows.columns), rows, percent).withColumn("likely", F.lit(0))
+    led = _led(rows, percent)
+    near_head = led.where("head IS NOT NULL").select(F.col("id").alias("later"), F.col("head").alias("earlier"), F.lit(1).alias("likely"))
+    probes = led.where("head IS NULL AND NOT first").select(rows.columns)
+    others = _pairs(probes, rows, percent).withColumn("likely", F.lit(0))
     return near_head.union(others).groupBy("later", "earlier").agg(F.max("likely").alias("likely"))
 
 
