@@ -16,7 +16,7 @@ SLOTS = 1 << 22
 # Bits of the table of lines whose words a check needs; a multiple of 2^15.
 BITS = 1 << 27
 # Sets per prefix word that stand for their near copies.
-HEADS = 2
+HEADS = 4
 # Bytes of text that a task takes apart at a time.
 CHUNK_BYTES = 2 << 20
 _SALT = np.uint64(0x27D4EB2F165667C5)
