@@ -75,31 +75,6 @@ def test_edge_cases(spark):
     assert line_dedup.line_decisions(empty).count() == 0
 
 
-def test_heads_stand_for_their_near_copies(spark):
-    rng = random.Random(1)
-    rows = [(i, rng.choice([5, 6, 20]), rng.getrandbits(3), 0, [rng.randrange(6), 6 + rng.randrange(4)]) for i in range(400)]
-
-    def similar(x, y):
-        need = -(-(x[1] + y[1]) * 80 // 180)
-        sizes = all(a[1] * 100 >= b[1] * 80 and a[1] - a[3] >= need for a, b in ((x, y), (y, x)))
-        return sizes and (x[2] ^ y[2]).bit_count() <= x[1] + y[1] - 2 * need
-
-    want = {}
-    for token in range(10):
-        heads = []
-        for i, n, bits, _, prefix in rows:
-            if token in prefix:
-                row = (i, n, bits, prefix.index(token))
-                head = next((h[0] for h in heads if similar(row, h)), None)
-                want[i, token] = (head, not heads)
-                if head is None and len(heads) < line_dedup.HEADS:
-                    heads.append(row)
-    sets = spark.createDataFrame(rows, "id long, n int, bits long, skipped int, prefix array<int>")
-    led = line_dedup._led(line_dedup._prefix_rows(sets), 80).collect()
-    assert {(r.id, r.token): (r["head"], r["first"]) for r in led} == want
-    assert len({head for head, _ in want.values()}) > 11
-
-
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
