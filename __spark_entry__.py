@@ -60,7 +60,7 @@ from newslens.plans.ingest import (  # noqa: E402
     read_quarantine,
 )
 from newslens.schemas import CLEAN_COLUMNS, RAW_EVENT, RAW_GKG, fields  # noqa: E402
-from newslens.session import scratch_path, use_utc  # noqa: E402
+from newslens.session import scratch_path, use_compiled_methods, use_utc  # noqa: E402
 from newslens.sinks.export import export_csv, read_export  # noqa: E402
 from newslens.sinks.tables import write_events, write_summary  # noqa: E402
 from newslens.sources.archives import read_zipped_events  # noqa: E402
@@ -114,7 +114,7 @@ WINDOW_HOURS = 240
 # ---------------------------------------------------------------------------------- inputs
 
 def _g(spark, sf_dir):
-    return adapter.news_events(use_utc(spark), sf_dir)
+    return adapter.news_events(use_compiled_methods(use_utc(spark)), sf_dir)
 
 
 def _enriched(spark, sf_dir):
@@ -377,12 +377,14 @@ def ingest_zipped_window(spark, sf_dir):
 def stream_events(spark, sf_dir):
     """The events table after a stream of feed files that repeat a third of the events each."""
     folder, root, state = (scratch_path(spark, name) for name in ("stream", "tables", "state"))
-    lines = _event_lines(spark, sf_dir)
-    number = F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint") % 3
+    raw = adapter.raw_events(_g(spark, sf_dir))
+    # By the id and not by the text, which would be put together again for each comparison.
+    number = F.pmod(F.coalesce("GLOBALEVENTID", F.lit(0)), F.lit(3))
     codes = _landed_codes(spark)
     for part in range(3):
         # Of each file the next one repeats a part; the last repeats the first.
-        lines.where((number == part) | (number == (part + 1) % 3)).write.mode("append").text(folder)
+        repeated = raw.where(number.isin(part, (part + 1) % 3))
+        adapter.tsv_lines(repeated).write.mode("append").text(folder)
         append_arrivals(spark, folder, root, state, max_files=3).awaitTermination()
         if part:
             compact_arrivals(spark, codes, root)

@@ -16,14 +16,23 @@ from newslens.sources.delimited import parsed_lines, read_raw_events
 from newslens.sources.manifest import feed_check, select_feed_files
 
 
+def staged_keys(keys):
+    """The rows of `keys` from a scratch table, whose size Catalyst knows."""
+    spark = keys.sparkSession
+    path = scratch_path(spark, "repeated")
+    keys.write.parquet(path)
+    return spark.read.schema(keys.schema).parquet(path)
+
+
 def one_row_per_event(clean):
     """Drop repeated deliveries of an event; of differing ones the greatest row stays.
 
     Repeats are rare, so a count per key finds them first; only rows of repeated keys go through
-    the aggregate over whole rows. The surviving row does not depend on task timing.
+    the aggregate over whole rows. The repeated keys are staged, so that the joins know how few they
+    are and leave the other rows where they are read. The surviving row does not depend on task timing.
     """
     keyed = clean.withColumn("_key", event_key(clean))
-    repeated = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
+    repeated = staged_keys(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
     row = F.struct(*(F.col(c) for c in clean.columns))
     several = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.max(row).alias("row"))
     single = keyed.join(repeated, "_key", "left_anti").drop("_key")

@@ -10,6 +10,21 @@ def use_utc(spark):
     return spark
 
 
+# HotSpot only compiles methods of up to this many bytes.
+COMPILED_METHOD = 8000
+
+
+def use_compiled_methods(spark):
+    """Generated code of wide rows in methods that the JVM compiles.
+
+    Spark puts a stage over the 61 feed columns into one method, which the JVM then interprets on
+    every row; beyond this limit Spark splits it by expression instead.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(limit, min(COMPILED_METHOD, int(spark.conf.get(limit))))
+    return spark
+
+
 def scratch_root(spark):
     """A part for each application of the shared folder that `spark.checkpoint.dir` names.
 

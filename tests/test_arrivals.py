@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__ as entry
 from newslens.sources.tables import read_events
 from newslens.streaming.arrivals import append_arrivals, compact_arrivals, read_arrivals
 
@@ -90,3 +91,30 @@ def test_a_compaction_that_died_is_repeated(spark, feed, monkeypatch):
         stored()
     monkeypatch.undo()
     assert stored()[1] == [(1, 1), (2, 2)]
+
+
+def test_every_event_of_the_table_is_streamed_by_its_id(spark, tmp_path):
+    rows = "(1L, 'click'), (-2L, 'click'), (CAST(NULL AS BIGINT), 'view')"
+    spark.sql(
+        f"SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-05 10:00:00' AS ts, 3L AS user_id, kind AS event_type, "
+        f"1.0D AS value, '{{\"k\": 5}}' AS props FROM VALUES {rows} AS t(id, kind)"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 3 AS n_nationkey, 'nation_3' AS n_name, 1 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 1 AS r_regionkey, 'AMERICA' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    stored = entry.queries()["stream_events"](spark, str(tmp_path))
+    assert {r.GLOBALEVENTID for r in stored.collect()} == {1, -2, None}
+
+
+def test_feed_columns_run_in_methods_that_the_jvm_compiles(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, 65535)
+        entry.use_compiled_methods(spark)
+        assert int(spark.conf.get(limit)) == 8000
+        # A lower limit of the session stays.
+        spark.conf.set(limit, 4000)
+        entry.use_compiled_methods(spark)
+        assert int(spark.conf.get(limit)) == 4000
+    finally:
+        spark.conf.set(limit, before)

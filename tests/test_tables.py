@@ -87,6 +87,22 @@ def test_repeated_event_keeps_one_deterministic_row(spark):
         assert [(r.GLOBALEVENTID, r.num_articles) for r in got] == [(1, 9), (2, 1)]
 
 
+def test_rows_that_come_once_are_not_shuffled(spark, tmp_path):
+    rows = [dict(GLOBALEVENTID=i, SOURCEURL=f"http://news.example/{i * 7919}") for i in range(3000)]
+    events(spark, [*rows, dict(GLOBALEVENTID=7, num_articles=9)]).write.parquet(f"{tmp_path}/staged")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        # The feed is larger than what is broadcast, its repeated keys are not.
+        spark.conf.set(name, "8k")
+        once = one_row_per_event(spark.read.parquet(f"{tmp_path}/staged"))
+        assert "SortMergeJoin" not in plan(once) and "BroadcastHashJoin" in plan(once)
+        assert once.count() == 3000
+        assert once.where("GLOBALEVENTID = 7").first().num_articles == 9
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_day_filter_prunes_folders_and_columns(spark, tmp_path):
     root = str(tmp_path / "db")
     write_events(events(spark, [dict(event_date=day(n)) for n in (1, 2, 3)]), root)
