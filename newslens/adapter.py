@@ -6,6 +6,7 @@ scans can be checked against the rows they came from.
 """
 
 import io
+import itertools
 import zipfile
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ EVENT_CODES = {
     "057": "Sign formal agreement",
 }
 LINES_PER_ARCHIVE = 100_000
+# Lines that a task holds as text.
+LINES_AT_ONCE = 1_000
 
 
 # Schemas of the tables read here; given, so that opening a table needs no job of its own.
@@ -191,25 +194,40 @@ def damaged_lines(raw):
     return raw.selectExpr(f"IF({CUT}, substring_index({whole}, '\t', {CUT_FIELDS}), {whole}) AS value")
 
 
-def _pack(batches):
-    """Lines -> zip archives of bounded size, named by task and number."""
-    task, number, lines = TaskContext.get().partitionId(), 0, []
+class _Archive:
+    """A zip archive of one member. Lines go in as they come, so it is held compressed only."""
+
+    def __init__(self, name):
+        self.name, self.packed, self.n_lines = name, io.BytesIO(), 0
+        self.target = zipfile.ZipFile(self.packed, "w", zipfile.ZIP_DEFLATED)
+        self.member = self.target.open(name, "w", force_zip64=True)
 
-    def archive():
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
-            target.writestr(f"{task:06d}-{number:06d}.export.CSV", "\n".join(lines) + "\n")
-        name = f"{task:06d}-{number:06d}.export.CSV.zip"
-        return pa.RecordBatch.from_pydict({"path": [name], "content": [packed.getvalue()]})
+    def add(self, lines):
+        self.member.write("".join(f"{line}\n" for line in lines).encode())
+        self.n_lines += len(lines)
 
+    def row(self):
+        self.member.close()
+        self.target.close()
+        return pa.RecordBatch.from_pydict({"path": [f"{self.name}.zip"], "content": [self.packed.getvalue()]})
+
+
+def _pack(batches):
+    """Lines -> zip archives of bounded size, named by task and number."""
+    task, number, archive = TaskContext.get().partitionId(), 0, None
     for batch in batches:
-        for line in batch.column("value").to_pylist():
-            lines.append(line)
-            if len(lines) == LINES_PER_ARCHIVE:
-                yield archive()
-                number, lines = number + 1, []
-    if lines:
-        yield archive()
+        values, at = batch.column("value"), 0
+        while at < len(values):
+            if archive is None:
+                archive = _Archive(f"{task:06d}-{number:06d}.export.CSV")
+            lines = values.slice(at, min(LINES_AT_ONCE, LINES_PER_ARCHIVE - archive.n_lines)).to_pylist()
+            archive.add(lines)
+            at += len(lines)
+            if archive.n_lines == LINES_PER_ARCHIVE:
+                yield archive.row()
+                number, archive = number + 1, None
+    if archive is not None:
+        yield archive.row()
 
 
 def archives(lines):
@@ -218,30 +236,22 @@ def archives(lines):
 
 
 def named_archives(lines):
-    """(path, content) rows: the lines of each `name` of (name, line) rows as `name`.zip.
-
-    Lines go into their archive as they come, so an archive is held compressed only.
-    """
+    """(path, content) rows: the lines of each `name` of (name, line) rows as `name`.zip."""
 
     def pack(batches):
-        name = packed = target = member = None
-
-        def done():
-            member.close()
-            target.close()
-            return pa.RecordBatch.from_pydict({"path": [f"{name}.zip"], "content": [packed.getvalue()]})
-
+        archive = None
         for batch in batches:
-            for now, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if now != name:
-                    if name is not None:
-                        yield done()
-                    name, packed = now, io.BytesIO()
-                    target = zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED)
-                    member = target.open(name, "w", force_zip64=True)
-                member.write(f"{line}\n".encode())
-        if name is not None:
-            yield done()
+            for at in range(0, batch.num_rows, LINES_AT_ONCE):
+                names, values = (column.to_pylist() for column in batch.slice(at, LINES_AT_ONCE).columns)
+                rows = zip(names, values, strict=True)
+                for name, group in itertools.groupby(rows, key=lambda row: row[0]):
+                    if archive is not None and archive.name != name:
+                        yield archive.row()
+                        archive = None
+                    archive = archive or _Archive(name)
+                    archive.add([line for _, line in group])
+        if archive is not None:
+            yield archive.row()
 
     ordered = lines.select("name", "line").repartition("name").sortWithinPartitions("name")
     return ordered.mapInArrow(pack, "path string, content binary")

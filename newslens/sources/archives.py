@@ -1,7 +1,6 @@
 """Zipped feed files, read in place."""
 
 import io
-import itertools
 import zipfile
 import zlib
 
@@ -13,7 +12,8 @@ from newslens.sources.delimited import parsed_lines
 
 # Endings of the archive members that hold rows.
 MEMBER_ENDINGS = (".CSV", ".csv", ".txt")
-LINES_PER_BATCH = 20_000
+# Characters of the lines that go on together, whatever their number.
+CHARS_PER_BATCH = 2 << 20
 
 
 # Archives beyond it are dealt out member by member.
@@ -27,7 +27,7 @@ def _line_batch(lines):
 def _lines_of(member):
     """Batches of the lines of an open member, which is streamed and not held whole."""
     text = io.TextIOWrapper(member, encoding="utf-8", errors="replace")
-    while lines := list(itertools.islice(text, LINES_PER_BATCH)):
+    while lines := text.readlines(CHARS_PER_BATCH):
         yield _line_batch(lines)
 
 
@@ -39,7 +39,8 @@ def _member_lines(batches):
     """(content) batches -> batches of text lines."""
     for batch in batches:
         for content in batch.column("content"):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+            # Read where the batch holds it, without a copy.
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
                 for info in _row_members(archive):
                     with archive.open(info) as member:
                         yield from _lines_of(member)
@@ -55,7 +56,7 @@ def _packed_members(batches):
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             view = memoryview(content.as_buffer())
-            with zipfile.ZipFile(io.BytesIO(view)) as archive:
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
                 for info in _row_members(archive):
                     # The local header ends in a name and an extra field of its own lengths.
                     at = info.header_offset
