@@ -94,7 +94,7 @@ def test_rows_that_come_once_are_not_shuffled(spark, tmp_path):
     before = spark.conf.get(name)
     try:
         # The feed is larger than what is broadcast, its repeated keys are not.
-        spark.conf.set(name, "8k")
+        spark.conf.set(name, "2k")
         once = one_row_per_event(spark.read.parquet(f"{tmp_path}/staged"))
         assert "SortMergeJoin" not in plan(once) and "BroadcastHashJoin" in plan(once)
         assert once.count() == 3000
