@@ -18,7 +18,7 @@ BITS = 1 << 27
 # Bytes of text that a task takes apart at a time.
 CHUNK_BYTES = 2 << 20
 # Earlier sets that a set is tried against for each prefix word, before it is tried against all.
-TRIES = 8
+TRIES = 24
 # Prefix words in a partition, about, and sets that a task deals out at a time.
 PART_ROWS = 1 << 20
 DEAL_SETS = 1 << 16
@@ -188,19 +188,25 @@ def _similar_enough(x, y, percent):
 
 def _numbered(sets):
     """The sets with `id`, which grows with the place of their first line."""
-    return sets.orderBy("place").withColumn("id", F.monotonically_increasing_id())
+    return sets.orderBy("place.doc_id", "place.text_hash", "place.line").withColumn("id", F.monotonically_increasing_id())
 
 
 _PREFIX = {"token": "int", "id": "long", "bits1": "long", "bits2": "long", "n": "int", "pos": "int"}
 
 
-def _prefix_words(batch):
-    """Arrays of the columns _PREFIX: a place per word of each prefix of a batch of `_prefixes`."""
+def _prefix_words(batch, table=None):
+    """Arrays of the columns _PREFIX: a place per word of each prefix of a batch of `_prefixes`.
+
+    With a table of bits, of the words whose bit it has.
+    """
     prefix = batch.column(5)
-    sizes = np.diff(prefix.offsets.to_numpy())
+    sizes, token = np.diff(prefix.offsets.to_numpy()), prefix.flatten().to_numpy()
     of = np.repeat(np.arange(batch.num_rows), sizes)
     pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    found = [prefix.flatten().to_numpy(), *(batch.column(i).to_numpy()[of] for i in range(4))]
+    if table is not None:
+        wanted = np.flatnonzero(_has_bit(table, token.astype(np.int64) & (BITS - 1)))
+        token, of, pos = token[wanted], of[wanted], pos[wanted]
+    found = [token, *(batch.column(i).to_numpy()[of] for i in range(4))]
     return [*found, (pos + batch.column(4).to_numpy()[of]).astype(np.int32)]
 
 
@@ -214,10 +220,7 @@ def _prefix_rows(sets, table=None):
 
     def run(batches):
         for batch in batches:
-            found = _prefix_words(batch)
-            if shared is not None:
-                wanted = _has_bit(shared.value, found[0].astype(np.int64) & (BITS - 1))
-                found = [c[wanted] for c in found]
+            found = _prefix_words(batch, None if shared is None else shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], list(_PREFIX))
 
     return _prefixes(sets).mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in _PREFIX.items()))
@@ -297,7 +300,7 @@ def _first_partners(token, ids, bits1, bits2, n, pos, percent):
         tries[x] += 1
         found.append((ids[x], ids[y], tries[x] == TRIES))
         step += 1
-        if step % TRIES == 0:
+        if step & (step - 1) == 0:
             left = tries[row] < TRIES
             row, at, bits, own, depth = (c[left] for c in (row, at, bits, own, depth))
     return [np.concatenate(part) for part in zip(*found, strict=True)] if found else [ids[:0], ids[:0], np.zeros(0, bool)]
@@ -324,8 +327,8 @@ def _candidates(sets, percent):
 
 
 def _bit(doc_key, line):
-    """Bit of a line in the table of wanted lines, for columns and for arrays."""
-    return (doc_key + line * _STEP) % BITS
+    """Bit of a line in the table of wanted lines, for columns and for arrays; that of a text with any is `doc_key`."""
+    return (doc_key + (line + 1) * _STEP) % BITS
 
 
 def _doc_key(doc_id, text_hash):
@@ -352,13 +355,15 @@ def _line_words(source, places):
     Texts are not shuffled. The lines are found by a table of BITS bits; where others fall on the
     same bits, they come along and no pair asks for them.
     """
-    bit = _bit(_doc_key("place.doc_id", "place.text_hash"), F.col("place.line").cast("long"))
-    shared = source.sparkSession.sparkContext.broadcast(_bit_table(places.select(bit.alias("bit"))))
+    doc_key = _doc_key("place.doc_id", "place.text_hash")
+    bits = F.array(doc_key, _bit(doc_key, F.col("place.line").cast("long")))
+    shared = source.sparkSession.sparkContext.broadcast(_bit_table(places.select(F.explode(bits).alias("bit"))))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         table = shared.value
-        for batch in _chunks(batches, 3):
+        some = (batch.filter(pa.array(_has_bit(table, batch.column(2).to_numpy()))) for batch in batches)
+        for batch in _chunks(some, 3):
             data, offsets = text_bytes(batch.column(3))
             rows, lines, starts = _line_spans(data, offsets)
             bits = _bit(batch.column(2).to_numpy()[rows], lines)
@@ -399,7 +404,7 @@ def _verified(source, sets, pairs, percent):
 
 
 def removed_lines(docs, doc_id="doc_id", text="text", percent=PERCENT):
-    """(source, counted, removed): identified texts, (doc_id, text_hash, n_lines) of those with lines, and (doc_id, text_hash, line) of each removed line."""
+    """(source, counted, removed): identified texts, (doc_id, text_hash, n_lines) of those with lines, and (doc_id, text_hash, line) of each removed line, perhaps repeated."""
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
         F.col(text).cast("binary").alias("text"),
@@ -424,7 +429,7 @@ def removed_lines(docs, doc_id="doc_id", text="text", percent=PERCENT):
     found = matched.distinct().withColumnRenamed("later", "id")
     found = sets.select("id", "place").join(found, "id", "left_semi").select("place.*")
     counted = lines.where("n_lines IS NOT NULL").select("doc_id", "text_hash", "n_lines")
-    return source, counted, copies.unionByName(found).distinct()
+    return source, counted, copies.unionByName(found)
 
 
 def line_decisions(docs, **options):
@@ -439,7 +444,7 @@ def line_decisions(docs, **options):
     source, counted, removed = removed_lines(docs, **options)
     known = removed.withColumn("n_lines", F.lit(None).cast("long")).unionByName(counted.withColumn("line", F.lit(None).cast("int")))
     per_text = known.groupBy("doc_id", "text_hash").agg(
-        F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_list("line")).alias("removed")
+        F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("line")).alias("removed")
     )
     narrow = source.select("doc_id", "text_hash")
     joined = narrow.join(

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from newslens.llm import line_dedup, queries
+from newslens.llm import grams, line_dedup, queries
 
 
 def brute_force(rows, percent=80):
@@ -81,3 +82,42 @@ def test_query(spark):
     want = brute_force(rows)
     got = {r.doc_id: r.removed for r in queries.op3_line_dedup(spark, folder).collect()}
     assert got == {d: want.get(d, []) for d, _ in rows}
+
+
+def test_near_copies_behind_other_heads_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([word] + [f"o{i}x{k}" for k in range(39)] * 2)) for i, word in enumerate(base)]
+    for d in range(100, 300):
+        words = list(base)
+        words[rng.randrange(40)] = f"new{d}"
+        rows.append((d, " ".join(words)))
+    pairs, keep = {}, line_dedup.keep
+
+    def counted(frame, name, **options):
+        found = keep(frame, name, **options)
+        pairs[name] = found.count() if "pairs" in name else 0
+        return found
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.line_decisions(frame).collect()}
+    assert got == {d: brute_force(rows).get(d, []) for d, _ in rows}
+    # All of them would be 19,900.
+    assert sum(pairs.values()) < 200 * 40
+
+
+def test_words_cut_out_of_bytes():
+    rng = random.Random(5)
+    texts = [b"", None, b" ", b"a", b"\n\n", "é \x1c\x85 x\x00 x\x00\x00".encode(), b"0123456789abcdef01234567", b"0123456789abcdef012345678 " * 2]
+    texts += [bytes(rng.choice(b"ab\n \t\r\x0b\x0c\x00\xff") for _ in range(rng.randrange(60))) for _ in range(300)]
+    data, offsets = grams.text_bytes(pa.array(texts, pa.binary())[1:])
+    starts, ends = grams.spans(line_dedup._IN_WORD[data], offsets)
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert words == [w for t in texts[1:] for w in (t or b"").split()]
+    of_word = dict(zip(words, grams.span_hashes(data, starts, ends).tolist(), strict=True))
+    assert len(set(of_word.values())) == len(of_word)
+    rows, numbers, starts = line_dedup._line_spans(data, offsets)
+    lines = [(r, n, line) for r, t in enumerate(texts[1:]) for n, line in enumerate((t or b"").split(b"\n"))]
+    assert [(r, n) for r, n, _ in lines] == list(zip(rows.tolist(), numbers.tolist(), strict=True))
+    assert all(data[s : s + len(line)].tobytes() == line for s, (_, _, line) in zip(starts, lines, strict=True))
