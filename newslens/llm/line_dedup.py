@@ -18,7 +18,7 @@ BITS = 1 << 27
 # Bytes of text that a task takes apart at a time.
 CHUNK_BYTES = 2 << 20
 # Earlier sets that a set is tried against for each prefix word, before it is tried against all.
-TRIES = 24
+TRIES = 8
 # Prefix words in a partition, about, and sets that a task deals out at a time.
 PART_ROWS = 1 << 20
 DEAL_SETS = 1 << 16
@@ -87,19 +87,19 @@ def token_ranks(source):
             data, offsets = text_bytes(part.column(0))
             np.add.at(counts, _slot(span_hashes(data, *spans(_IN_WORD[data], offsets))), 1)
         for block in np.flatnonzero(counts.reshape(-1, SLOT_BLOCK).any(axis=1)).tolist():
-            some = counts[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some.tolist()])], ["block", "n"])
+            some = np.minimum(counts[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK], 2**32 - 1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some.tobytes()])], ["block", "n"])
 
     def add(batches):
         found = {}
         for batch in batches:
-            for block, some in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found[block] = found.get(block, 0) + some.values.to_numpy()
+            for block, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found[block] = found.get(block, np.int64(0)) + np.frombuffer(some, "<u4")
         for block, some in found.items():
             ranks = np.floor(2 * np.log2(np.maximum(some, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ranks.tobytes()])], ["block", "ranks"])
 
-    counted = source.select("text").mapInArrow(run, "block int, n array<long>")
+    counted = source.select("text").mapInArrow(run, "block int, n binary")
     found = counted.repartition("block").mapInArrow(add, "block int, ranks binary").toArrow()
     ranks = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
     for block, some in zip(found["block"].to_pylist(), found["ranks"].to_pylist(), strict=True):
